@@ -60,7 +60,7 @@ def shingle_hashes(wh: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
     if not n:
         return wh
     k = min(k, n)
-    h = np.full(n - k + 1, np.uint64(0x9E3779B97F4A7C15) * np.uint64(k), np.uint64)
+    h = np.full(n - k + 1, (0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(k):
         h = _mix(h * np.uint64(0x100000001B3) ^ wh[i : n - k + 1 + i])
     return h
