@@ -8,11 +8,12 @@ look-up per word and one vectorised gather.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 END_ID = 2
-MAX_WORDS = 300_000
+MAX_WORDS = 400_000
 
 
 def default_path() -> str:
@@ -60,16 +61,18 @@ class WordTokens:
         self._used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for w in words:
-            ids = self._encoded(w.decode("utf-8", "replace"))
-            k = len(self._at)
-            while k >= len(self._start):
-                self._start, self._len = np.concatenate([self._start, self._start]), np.concatenate([self._len, self._len])
-            while self._used + len(ids) > len(self._flat):
-                self._flat = np.concatenate([self._flat, self._flat])
-            self._at[w], self._start[k], self._len[k] = k, self._used, len(ids)
-            self._flat[self._used : self._used + len(ids)] = ids
-            self._used += len(ids)
+        got = [self._encoded(w.decode("utf-8", "replace")) for w in words]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        k, used = len(self._at), self._used + int(n.sum())
+        self._at.update(zip(words, range(k, k + len(words))))
+        while k + len(words) > len(self._start):
+            self._start, self._len = np.concatenate([self._start, self._start]), np.concatenate([self._len, self._len])
+        while used > len(self._flat):
+            self._flat = np.concatenate([self._flat, self._flat])
+        self._start[k : k + len(words)] = self._used + np.cumsum(n) - n
+        self._len[k : k + len(words)] = n
+        self._flat[self._used : used] = list(chain.from_iterable(got))
+        self._used = used
 
     def _encoded(self, word: str) -> list[int]:
         if self._direct and (m := _PLAIN.fullmatch(word)) and (letters := m[1]).isalpha() and letters == letters.lower():
