@@ -44,7 +44,7 @@ class Rolling:
             system.create_dir(folder, recursive=True)
             name = f"{self.stem}-{self.n}{self.suffix}"
             self.n += 1
-            self.file, self.uri = system.open_output_stream(f"{folder}/{name}"), f"{self.folder}/{name}"
+            self.file, self.uri = system.open_output_stream(f"{folder}/{name}", compression=None), f"{self.folder}/{name}"
         return self.uri
 
     def write(self, data: bytes) -> None:
