@@ -33,8 +33,8 @@ from .text import SHINGLE_WORDS, mix, seeds, shingle_set
 THRESHOLD = 0.8
 POSITIONS = 128
 LIMIT = 128
-DEPTH = 3
-RECALL = 0.999
+DEPTH = 2
+RECALL = 0.9999
 CHUNK = 256
 CHUNK_BYTES = 8 << 20
 #: Sketches whose share of equal bytes is lower by this are not looked at again: over five standard deviations.
