@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, licenses, packing, quality, tokenscan, urls, warc
+from . import chat, decontam, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
 from .frames import table
 
 
@@ -26,6 +26,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.link_edges(pages))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op4_url_filters": op4_url_filters,
+    "op5_language_model": op5_language_model,
     "op6_warc": op6_warc,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_token_counts": op8_token_counts,
