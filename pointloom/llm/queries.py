@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
 from .frames import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +65,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_license_scans": op10_license_scans,
 }
-
-ORACLE: dict[str, str] = {}
