@@ -3,7 +3,8 @@
 Messages form trees by parent.  Self-joins that double their reach enumerate every
 root-to-leaf path by its leaf (root, length, score); branches are ranked by score, and
 the messages of each chosen path are marked by the same doubled steps and formatted as one
-conversation.  Each round joins rows of constant size; there are log2(depth) rounds.
+conversation.  Each round joins rows of constant size, and only those whose path has not
+reached its root; there are log2(depth) rounds.
 
 Template, per turn:  ``### Role: text </turn>\\n``.  In roles and texts a backslash is
 written ``\\b``, ``#`` is ``\\h``, ``<`` is ``\\l`` and, in roles, ``:`` is ``\\c``; so no text
@@ -68,7 +69,8 @@ def leaf_paths(nodes: DataFrame, rounds: int = 40) -> tuple[DataFrame, list[Data
             break
         tables.append(open_rows.select("tree", "node", "up"))
         above = at.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("length").alias("length2"))
-        at = checkpointed(at.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")))
+        longer = open_rows.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("length") + F.col("length2")).alias("length"))
+        at = checkpointed(at.where("up is null").unionByName(longer))
     else:
         raise ValueError("the messages hold a cycle")
     inner = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
