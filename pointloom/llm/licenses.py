@@ -1,12 +1,13 @@
 """License scans: MinHash bands over overlapping text windows, verified by exact shingle containment.
 
 Templates are parted by length; for templates of up to L words a text is cut into windows of
-2L words that start every L words, so any run of L words lies whole within one.  A window
-that holds a share t of a template of q shingles has a Jaccard similarity of at least
-s = t*q / (w + (1-t)*q) with it, w being the window's shingles.  Each of b bands is one
+2L shingles that start every L shingles, so any run of L words lies whole within one.  A
+window that holds a share t of a template of q shingles has a Jaccard similarity of at least
+s = t*q / (2L + (1-t)*q) with it.  Each of b bands is one
 minimum hash; b is the least number for which 1-(1-s)^b reaches ``COLLISION``.  A template
 that shares a band with any window is then checked by the exact containment of its shingles
-in that window.  One pass, no shuffle: no line or license is a hot key.
+in that window.  A window without any template's shingle can agree in no band, so bands are
+computed for the others alone.  One pass, no shuffle: no line or license is a hot key.
 """
 
 from __future__ import annotations
@@ -42,9 +43,9 @@ TEMPLATES = {
 }
 
 
-def bands_for(q: int, words: int, k: int, share: float) -> int:
-    """Bands with which a window of 2*words words collides with a template of q shingles inside it."""
-    s = share * q / (2 * words - k + 1 + (1 - share) * q)
+def bands_for(q: int, words: int, share: float) -> int:
+    """Bands with which a window of 2*words shingles collides with a template of q shingles inside it."""
+    s = share * q / (2 * words + (1 - share) * q)
     return max(1, math.ceil(math.log(1 - COLLISION) / math.log(1 - min(s, 1 - 1e-9))))
 
 
@@ -52,6 +53,7 @@ def bands_for(q: int, words: int, k: int, share: float) -> int:
 class _Class:
     words: int
     k: int
+    shingles: np.ndarray
     mult: np.ndarray
     keys: list[dict[int, list[int]]]
 
@@ -76,14 +78,14 @@ def build(templates: dict[str, str], share: float = CONTAINMENT, k: int = SHINGL
             sets.append(np.unique(shingle_hashes(wh, own)))
     classes = []
     for (own, words), members in sorted(parts.items()):
-        mult = seeds(max(bands_for(len(sets[i]), words, own, share) for i in members), salt=words)
+        mult = seeds(max(bands_for(len(sets[i]), words, share) for i in members), salt=words)
         keys = []
         for m in mult:
             of = defaultdict(list)
             for i in members:
                 of[int(_mixed(sets[i], m).min())].append(i)
             keys.append(dict(of))
-        classes.append(_Class(words, own, mult, keys))
+        classes.append(_Class(words, own, np.unique(np.concatenate([sets[i] for i in members])), mult, keys))
     return Index(names, sets, classes, share)
 
 
@@ -107,15 +109,14 @@ def scan_text(index: Index, text: bytes | None) -> list[tuple[str, int, int, int
         if c.k not in shingles:
             shingles[c.k] = shingle_hashes(wh, c.k)
         h = shingles[c.k]
-        starts = np.arange(0, len(h), c.words)
+        near = np.searchsorted(c.shingles, h)
+        near[near == len(c.shingles)] = 0
+        hit = np.flatnonzero(c.shingles[near] == h) // c.words
         seen = set()
-        for m, keys in zip(c.mult, c.keys):
-            # Windows are pairs of neighbouring blocks; a block's minimum serves both its windows.
-            low = np.minimum.reduceat(_mixed(h, m), starts)
-            low[:-1] = np.minimum(low[:-1], low[1:])
-            wanted = np.fromiter(keys, np.uint64, len(keys))
-            for at in np.flatnonzero(np.isin(low, wanted)):
-                seen.update((int(at), i) for i in keys[int(low[at])])
+        for at in np.unique(np.concatenate([hit, np.maximum(hit, 1) - 1])).tolist():
+            window = h[at * c.words : (at + 2) * c.words]
+            low = _mixed(window[:, None], c.mult[None, :]).min(axis=0)
+            seen.update((at, i) for value, keys in zip(low.tolist(), c.keys) for i in keys.get(value, ()))
         for at, i in seen:
             window = h[at * c.words : (at + 2) * c.words]
             inside = np.isin(window, index.sets[i])
