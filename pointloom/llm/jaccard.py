@@ -167,16 +167,16 @@ def _search(it, least: float):
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows), pa.int64()) for x in key] + [pa.array([fps[r] for r in rows], pa.binary()), pa.array([of[r] for r in rows], pa.list_(pa.binary()))], schema=_CANDIDATES)
 
 
-_SETS = pa.schema([("fp", pa.binary()), ("items", pa.binary())])
+_SETS = pa.schema([("fp", pa.binary()), ("rep", pa.int64()), ("copies", pa.int64()), ("items", pa.binary())])
 
 
 def _sets(it, k: int):
     for b in it:
         rows = []
-        for want, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+        for want, rep, copies, text in zip(*(b.column(i).to_pylist() for i in range(3)), utf8(b.column(3))):
             s = shingle_set(text, k)
             if xxhash.xxh3_128_digest(s.tobytes()) == want:
-                rows.append({"fp": want, "items": s.tobytes()})
+                rows.append({"fp": want, "rep": rep, "copies": copies, "items": s.tobytes()})
         yield pa.RecordBatch.from_pylist(rows, _SETS)
 
 
@@ -292,10 +292,10 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     with_bytes = reps.select("fp", F.unhex(F.array_join(F.transform(least_byte, lambda x: F.hex(x)), "")).alias("bytes"))
     leaves = _leaves(reps, threshold, runs_for(recall, depth), limit, depth)
     found = written(map_batches(_dealt(_blocks(leaves, with_bytes)), lambda it: _search(it, threshold - SLACK), "node long, i long, j long, fp binary, partners array<binary>"), "candidates")
-    wanted = reps.select("fp", "rep").join(found.select("fp").distinct(), "fp", "left_semi")
-    texts = id_text(documents).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "text")
-    sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, items binary").dropDuplicates(["fp"])
-    full = found.join(sets, "fp").join(reps.select("fp", "rep", "copies"), "fp").select("node", "i", "j", "fp", "rep", "copies", "items", "partners")
+    wanted = reps.select("fp", "rep", "copies").join(found.select("fp").distinct(), "fp", "left_semi")
+    texts = id_text(documents).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "doc_id", "copies", "text")
+    sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, rep long, copies long, items binary").dropDuplicates(["fp"])
+    full = found.join(sets, "fp").select("node", "i", "j", "fp", "rep", "copies", "items", "partners")
     links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, links long, u long, v long"), "links")
     roots = components(links.select("u", "v").distinct())
     of_rep = reps.join(links.groupBy("fp").agg(F.sum("links").alias("links")), "fp", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
