@@ -306,19 +306,19 @@ _S = "generate_series(0, 999) g(step)"
 def _sched(name, sql, column):
     @query(name, f"SELECT step, {s6(sql)} AS lr FROM {_S}")
     def run(spark, sf):
-        return series.steps(spark, 1000).select("step", r6(column).alias("lr"))
+        return series.steps(spark, 1000).select("step", r6(column()).alias("lr"))
 
     return run
 
 
 _MS = "0.1::DOUBLE * pow(0.1::DOUBLE, (step >= 600)::INT + (step >= 800)::INT)"
-_sched("multistep_lr", _MS, series.multi_step((0.6, 0.8), 1000, 0.1))
-_sched("multistep_warmup_lr", f"{_MS} * CASE WHEN step <= 50 THEN 1.0 - (1.0 - step / 50.0) * (1.0 - 1e-6) ELSE 1 END", series.multi_step_warmup((0.6, 0.8), 1000, 0.1))
-_sched("poly_lr", "0.1::DOUBLE * pow(1.0 - step / 1001.0, 0.9::DOUBLE)", series.poly(1000, 0.1))
-_sched("exp_lr", "0.1::DOUBLE * pow(0.9::DOUBLE, step / 1000.0)", series.exponential(1000, 0.1))
-_sched("cosine_lr", "0.1::DOUBLE * (1.0 + cos(pi() * step / 1000)) / 2", series.cosine(1000, 0.1))
-_sched("onecycle_lr", "CASE WHEN step <= 299 THEN 0.1::DOUBLE + (0.004::DOUBLE - 0.1) / 2 * (1 + cos(pi() * step / 299)) ELSE 0.0000004::DOUBLE + (0.1 - 0.0000004) / 2 * (1 + cos(pi() * (step - 299) / 700)) END", series.one_cycle(1000, 0.1))
-_sched("cosine_warmup_lr", "CASE WHEN step < 20 THEN 0 WHEN step < 120 THEN 0.1::DOUBLE * (step - 20) / 99 WHEN step < 900 THEN 0.001::DOUBLE + 0.5 * (0.1 - 0.001) * (1 + cos(pi() * (step - 120) / 780)) ELSE 0.001 END", series.cosine_warmup(900, 0.1, 0.001, 100, 0.0, 20))
+_sched("multistep_lr", _MS, lambda: series.multi_step((0.6, 0.8), 1000, 0.1))
+_sched("multistep_warmup_lr", f"{_MS} * CASE WHEN step <= 50 THEN 1.0 - (1.0 - step / 50.0) * (1.0 - 1e-6) ELSE 1 END", lambda: series.multi_step_warmup((0.6, 0.8), 1000, 0.1))
+_sched("poly_lr", "0.1::DOUBLE * pow(1.0 - step / 1001.0, 0.9::DOUBLE)", lambda: series.poly(1000, 0.1))
+_sched("exp_lr", "0.1::DOUBLE * pow(0.9::DOUBLE, step / 1000.0)", lambda: series.exponential(1000, 0.1))
+_sched("cosine_lr", "0.1::DOUBLE * (1.0 + cos(pi() * step / 1000)) / 2", lambda: series.cosine(1000, 0.1))
+_sched("onecycle_lr", "CASE WHEN step <= 299 THEN 0.1::DOUBLE + (0.004::DOUBLE - 0.1) / 2 * (1 + cos(pi() * step / 299)) ELSE 0.0000004::DOUBLE + (0.1 - 0.0000004) / 2 * (1 + cos(pi() * (step - 299) / 700)) END", lambda: series.one_cycle(1000, 0.1))
+_sched("cosine_warmup_lr", "CASE WHEN step < 20 THEN 0 WHEN step < 120 THEN 0.1::DOUBLE * (step - 20) / 99 WHEN step < 900 THEN 0.001::DOUBLE + 0.5 * (0.1 - 0.001) * (1 + cos(pi() * (step - 120) / 780)) ELSE 0.001 END", lambda: series.cosine_warmup(900, 0.1, 0.001, 100, 0.0, 20))
 
 
 # Losses
