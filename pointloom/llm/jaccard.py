@@ -68,12 +68,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _PLACE = mix(np.arange(POSITIONS, dtype=np.uint64) + np.uint64(1) << np.uint64(33))
 
 
-def children(node: int, values: np.ndarray, threshold: float) -> np.ndarray:
-    """The buckets below ``node`` that a sketch goes to; a run's number stays in the upper bits."""
-    h = mix((values.astype(np.uint64) ^ _PLACE) + mix(np.array([node])))
-    chosen = h < np.uint64(int(2**64 / (threshold * POSITIONS)))
-    run = np.uint64(node >> _RUN_BITS << _RUN_BITS)
-    return (run | (mix(h[chosen]) >> np.uint64(64 - _RUN_BITS))).astype(np.int64)
+def children(nodes: np.ndarray, values: np.ndarray, threshold: float) -> np.ndarray:
+    """The buckets below ``nodes`` that a sketch goes to; a run's number stays in the upper bits."""
+    h = mix((values.astype(np.uint64) ^ _PLACE)[None, :] + mix(nodes)[:, None])
+    at, position = np.nonzero(h < np.uint64(int(2**64 / (threshold * POSITIONS))))
+    run = nodes.astype(np.uint64)[at] >> np.uint64(_RUN_BITS) << np.uint64(_RUN_BITS)
+    return (run | (mix(h[at, position]) >> np.uint64(64 - _RUN_BITS))).astype(np.int64)
 
 
 _BASE = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary())])
@@ -90,17 +90,15 @@ def _base(it, k: int):
 
 def _split(it, threshold: float, runs: int):
     """Children of (fp, size, sketch[, node]); without a node, of the roots of all runs."""
+    roots = np.arange(runs, dtype=np.int64) << _RUN_BITS
     for b in it:
         fps, nodes, sizes = [], [], []
-        given = b.column(3).to_pylist() if b.num_columns > 3 else None
+        given = b.column(3).to_numpy() if b.num_columns > 3 else None
         for i, (fp, size, sk) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
-            values = np.frombuffer(sk, "<u4")
-            parents = [given[i]] if given else [r << _RUN_BITS for r in range(runs)]
-            for p in parents:
-                c = np.unique(children(p, values, threshold))
-                nodes.append(c)
-                fps += [fp] * len(c)
-                sizes += [size] * len(c)
+            c = np.unique(children(roots if given is None else given[i : i + 1], np.frombuffer(sk, "<u4"), threshold))
+            nodes.append(c)
+            fps += [fp] * len(c)
+            sizes += [size] * len(c)
         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(nodes) if nodes else [], pa.int64())], names=["fp", "size", "node"])
 
 
