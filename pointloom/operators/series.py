@@ -8,6 +8,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scan import prefix
+
 
 def fuse_frames(frames: DataFrame, steps: Sequence[int] = (0, -1, -2), label: str | None = None, ignore: int = -1) -> DataFrame:
     """For every frame the rows of the frames ``frame_no + k`` of its sequence, with k as ``time``; labels of other frames are ignored."""
@@ -76,7 +78,7 @@ def interleave(sources: Sequence[DataFrame], ratios: Sequence[int], key: str, to
     turns = -(-(counts[0] if counts else total) // ratios[0])
     period, out, before = sum(ratios), None, 0
     for i, (s, r) in enumerate(zip(sources, ratios)):
-        ranked = s.withColumn("_j", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+        ranked = prefix(s, key, rank="_j")
         n = counts[i] if counts else s.count()
         need = turns * r if i else n
         copies = ranked.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-need // max(1, n)) - 1)).cast("long"))))

@@ -30,8 +30,10 @@ def collect_keys(df: DataFrame, keys: Sequence[str], **features: Sequence[str])
 
 def offsets(df: DataFrame) -> DataFrame:
     """Row counts per scene and their running sum in scene order."""
+    from .scan import prefix
+
     counts = df.groupBy("scene").agg(F.count("*").alias("n"))
-    return counts.withColumn("offset", F.sum("n").over(Window.orderBy("scene").rowsBetween(Window.unboundedPreceding, 0)))
+    return prefix(counts, "scene", value="n", running="offset").drop("rank")
 
 
 def off_diagonal(df: DataFrame, i: str = "i", j: str = "j") -> DataFrame:

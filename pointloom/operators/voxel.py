@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, cell, draw
+from .scan import prefix
 from .transforms import XYZ, with_scene
 
 CELL = ("gx", "gy", "gz")
@@ -124,11 +125,10 @@ def grid_unpool(df: DataFrame, pooled: DataFrame, stride: int = 2, feature: str
 def mix_scenes(df: DataFrame, instance: str = "instance", p: float = 1.0, salt: str = "mix") -> DataFrame:
     """Neighbouring scenes merged in pairs, with ``mix_id``; instances of the second move beyond those of the first.
 
-    Scenes are ranked over one narrow row for each, and a pair is merged with probability p.
+    Scenes are ranked over one narrow row for each; a pair is merged with probability p.
     """
     s = df.groupBy("scene").agg(F.max(instance).alias("_top"))
-    rank = F.row_number().over(Window.orderBy("scene")) - 1
-    s = s.withColumn("_rank", rank.cast("long")).withColumn("_pair", F.floor(F.col("_rank") / 2))
+    s = prefix(s, "scene", rank="_rank").withColumn("_pair", F.floor(F.col("_rank") / 2))
     first = s.where("_rank % 2 = 0").select("_pair", F.col("_top").alias("_shift"))
     s = s.join(first, "_pair").withColumn("_on", draw(salt, "_pair") < p)
     s = s.select("scene", F.when(F.col("_on"), F.col("_pair") * 2).otherwise(F.col("_rank")).alias("mix_id"), F.when(F.col("_on") & (F.col("_rank") % 2 == 1), F.greatest("_shift", F.lit(-1)) + 1).otherwise(F.lit(0)).alias("_shift"))

@@ -259,3 +259,15 @@ def test_align_pose_of_equal_poses_is_nothing(spark):
     pose = F.array(*(F.lit(v) for v in (0.0, -1.0, 0.0, 3.0, 1.0, 0.0, 0.0, 4.0, 0.0, 0.0, 1.0, 5.0, 0.0, 0.0, 0.0, 1.0)))
     df = random_cloud(spark, 20).withColumns({"pose": pose, "target_pose": pose, "ox": F.col("x")})
     assert t.align_pose(df).where(F.abs(F.col("x") - F.col("ox")) > 1e-9).count() == 0
+
+
+def test_prefix_equals_a_window(spark):
+    from pointloom.operators.scan import prefix
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id % 13 AS v")
+    got = prefix(df, "k", value="v").orderBy("k").collect()
+    run = 0
+    for i, r in enumerate(got):
+        run += r.v
+        assert (r.rank, r.running) == (i, run)
+    assert prefix(df.where("false"), "k").count() == 0
