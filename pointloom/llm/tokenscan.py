@@ -80,7 +80,7 @@ def scan(spark: SparkSession, files: DataFrame, separator: int = SEPARATOR, widt
     # The prefix scan: one row per block.
     w = Window.partitionBy("path").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    narrow = found.select("path", "block", (F.col("first") + F.col("n")).alias("stop"), F.size("ends").alias("k"), F.element_at("ends", -1).alias("last_end"))
+    narrow = found.select("path", "block", (F.col("first") + F.col("n")).alias("stop"), F.size("ends").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("last_end"))
     carry = narrow.select("path", "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.max("last_end").over(before) + 1, F.lit(0)).alias("open"), F.lead("block").over(w).isNull().alias("is_last"), "stop")
     both = found.select("path", "block", "ends").join(carry, ["path", "block"])
     # A document starts where the one before it in its block has ended, or where the scan says.
