@@ -97,7 +97,16 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("c"))).alias("e")).first()
-    top = counts.where((F.length("word") > 0) & (F.length("word") <= MAX_BYTES)).orderBy(F.col("c").desc(), "word").limit(LOOKUP).collect()  # LOOKUP rows of MAX_BYTES at most
+    # Words above the least count that LOOKUP words reach, found in a histogram of 16 bins per doubling.
+    short = counts.where((F.length("word") > 0) & (F.length("word") <= MAX_BYTES)).withColumn("bin", F.floor(16 * F.log2("c")))
+    bins, room, least = sorted(short.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True), LOOKUP, None
+    for r in bins:  # 16 x 63 rows at most
+        room -= r.n
+        if room < 0:
+            break
+        least = r.bin
+    top = short.where(F.col("bin") >= least).select("word", "c").collect() if least is not None else []  # LOOKUP rows of MAX_BYTES at most
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], np.float64)
     symbol = np.array([1 + i if i < HEAD else tail_class(w) for i, w in enumerate(words)], np.int64)
@@ -293,7 +302,9 @@ def _expect(it, shared):
 def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch over all training rows; a round's sums are SYMBOLS + states + 1 rows once added up."""
     rows = encoded.where("not held_out")
-    small = rows.where(F.col("n_tokens") <= GUESS_TOKENS).select("rid", "symbols").orderBy(F.xxhash64("rid"), "rid").limit(GUESS_ROWS).collect()
+    small = rows.where(F.col("n_tokens") <= GUESS_TOKENS)
+    ids = [r.rid for r in small.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(GUESS_ROWS).collect()]
+    small = sorted(small.where(F.col("rid").isin(ids)).select("rid", "symbols").collect()) if ids else []
     model = first_guess([np.frombuffer(r.symbols, np.uint16) for r in small], shares, states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(iterations):
