@@ -116,3 +116,35 @@ def morton(x: Column, y: Column, z: Column) -> Column:
 
 def unmorton(code: Column) -> tuple[Column, Column, Column]:
     return tuple(compact_bits(F.shiftrightunsigned(code, k)) for k in (2, 1, 0))
+
+
+def quaternion_product(a: list[Column], b: list[Column]) -> list[Column]:
+    """a x b of quaternions w, x, y, z."""
+    (aw, ax, ay, az), (bw, bx, by, bz) = a, b
+    return [
+        aw * bw - ax * bx - ay * by - az * bz,
+        aw * bx + ax * bw + ay * bz - az * by,
+        aw * by - ax * bz + ay * bw + az * bx,
+        aw * bz + ax * by - ay * bx + az * bw,
+    ]
+
+
+def quaternion_inverse(q: list[Column]) -> list[Column]:
+    return [q[0], -q[1], -q[2], -q[3]]
+
+
+def quaternion_rotate(q: list[Column], v: list[Column]) -> list[Column]:
+    return [m[0] * v[0] + m[1] * v[1] + m[2] * v[2] for m in quaternion_matrix(*q)]
+
+
+def to_gray(c: Column) -> Column:
+    return c.bitwiseXOR(F.shiftrightunsigned(c, 1))
+
+
+def from_gray(c: Column, bits: int = 64) -> Column:
+    """The inverse of :func:`to_gray`: a prefix xor by doubled shifts."""
+    s = 1
+    while s < bits:
+        c = c.bitwiseXOR(F.shiftrightunsigned(c, s))
+        s *= 2
+    return c

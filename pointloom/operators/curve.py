@@ -125,7 +125,7 @@ def decode(df: DataFrame, order: str = "z", bits: int = 16) -> DataFrame:
 
 
 def serialize(df: DataFrame, orders=("z",), bits: int = 16) -> DataFrame:
-    """For each curve ``code_i`` with the scene above the cell's bits, and ``rank_i``, the place in the scene's order."""
+    """For each curve ``code_i``, and ``rank_i``, the place in the scene's order."""
     out = df
     for i, order in enumerate(orders):
         out = encode(out, order, bits)
@@ -147,3 +147,10 @@ def patches(ranked: DataFrame, size: int, rank: str = "rank_0") -> DataFrame:
     borrow = r.where((F.col("n") > size) & (F.col("n") % size != 0) & (F.col("k") + size >= F.col("n")) & (F.col("k") + size < F.ceil(F.col("n") / size) * size))
     extra = borrow.select("scene", "point_idx", F.floor((F.col("k") + size) / size).cast("long").alias("patch"), ((F.col("k") + size) % size).alias("slot"), F.lit(True).alias("borrowed"))
     return own.unionByName(extra)
+
+
+def batched(code: Column, scene: Column, depth: int) -> Column:
+    """One key over all scenes: the scene above the 3 x depth bits of the code.  Both must fit 63 bits."""
+    if not 0 < depth <= 16:
+        raise ValueError("depth must be from 1 to 16")
+    return F.shiftleft(scene.cast("long"), 3 * depth).bitwiseOR(code)

@@ -164,3 +164,16 @@ def weighted_mean(df: DataFrame, by: str, value: str, n: str) -> DataFrame:
 
 def gradient_norm(df: DataFrame, value: str, by=()) -> DataFrame:
     return df.groupBy(*by).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
+
+
+def rolled_up(df: DataFrame, classes: int) -> DataFrame:
+    """Counts and IoU of each class and, with a null class, of all together."""
+    a = areas(df, classes).rollup("class").agg(*(F.sum(c).alias(c) for c in ("intersection", "predicted", "target", "union")))
+    return a.withColumn("iou", F.col("intersection") / (F.col("union") + 1e-10))
+
+
+def best_record(df: DataFrame, metric: str, by=()) -> DataFrame:
+    """The row with the greatest metric, of each group if there are any; of equals that with the least other values."""
+    rest = [c for c in df.columns if c != metric and c not in by]
+    best = df.groupBy(*by).agg(F.min(F.struct((-F.col(metric)).alias("_m"), *rest)).alias("b"))
+    return best.select(*by, (-F.col("b._m")).alias(metric), *(F.col(f"b.{c}").alias(c) for c in rest))

@@ -138,3 +138,16 @@ def cosine_warmup(total: int, base: float, final: float, warmup: int = 0, start:
     down = final + 0.5 * (base - final) * (1.0 + F.cos(pi * (s - freeze - warmup) / rest))
     rise = start + (base - start) * (s - freeze) / max(1, warmup - 1)
     return F.when(s < freeze, 0.0).when(s < freeze + warmup, rise).when(s < total, down).otherwise(F.lit(final))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: Sequence[str]) -> DataFrame:
+    """Left rows with the values of the latest right row of their key at or before their time; null where there is none.
+
+    Both sides are stacked and sorted once; no pairs are made.
+    """
+    a = left.withColumns({"_side": F.lit(1)} | {f"_{v}": F.lit(None).cast(dict(right.dtypes)[v]) for v in values})
+    b = right.select(by, at, F.lit(0).alias("_side"), *(F.col(v).alias(f"_{v}") for v in values))
+    w = Window.partitionBy(by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("_side") == 0, F.struct(*(f"_{v}" for v in values))), ignorenulls=True).over(w)
+    d = a.unionByName(b, allowMissingColumns=True).withColumn("_h", held).where("_side = 1")
+    return d.select(*left.columns, *(F.col(f"_h._{v}").alias(v) for v in values))

@@ -9,7 +9,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import KEY, clamp, col, draw, hsv_to_rgb, lookup, normal, rgb_to_hsv, uniform
+from ..functions.expr import KEY, clamp, col, draw, hsv_to_rgb, lookup, normal, quaternion_inverse, quaternion_product, quaternion_rotate, rgb_to_hsv, uniform
 
 XYZ, RGB, NORMAL = ("x", "y", "z"), ("r", "g", "b"), ("nx", "ny", "nz")
 
@@ -175,6 +175,34 @@ def boxes_to_sensor(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": out[0], "y": out[1], "z": out[2], "yaw": c("yaw") - turn, "vx": v[0], "vy": v[1]})
 
 
+def boxes_by_quaternion(df: DataFrame, frames=("ego", "sensor")) -> DataFrame:
+    """World boxes (t: x y z, q: w x y z, v: x y z, as arrays) moved into one frame after another, each given by ``<frame>_t`` and ``<frame>_q``."""
+    t, v = [F.col("t")[i] for i in range(3)], [F.col("v")[i] for i in range(3)]
+    q = [F.col("q")[i] for i in range(4)]
+    for f in frames:
+        back = quaternion_inverse([F.col(f"{f}_q")[i] for i in range(4)])
+        t = quaternion_rotate(back, [t[i] - F.col(f"{f}_t")[i] for i in range(3)])
+        v, q = quaternion_rotate(back, v), quaternion_product(back, q)
+    return df.withColumns({"t": F.array(*t), "q": F.array(*q), "v": F.array(*v)})
+
+
+def range_image_points(df: DataFrame, ranges: str = "ranges") -> DataFrame:
+    """Pixels with a range above 0 of images told as (scene, laser, return_no, ranges, xs, ys, zs[, labels]) rows, as points.
+
+    Points are numbered by return, laser and pixel; images without labels give 0.
+    """
+    arrays = F.arrays_zip(F.col(ranges).alias("range"), F.col("xs").alias("x"), F.col("ys").alias("y"), F.col("zs").alias("z"), (F.col("labels") if "labels" in df.columns else F.transform(ranges, lambda _: F.lit(0))).alias("segment"))
+    p = df.select("scene", "laser", "return_no", F.posexplode(arrays).alias("pixel", "p")).select("scene", "laser", "return_no", "pixel", "p.*").where("range > 0")
+    w = Window.partitionBy("scene").orderBy("return_no", "laser", "pixel")
+    return p.withColumns({"segment": F.coalesce("segment", F.lit(0)), "point_idx": (F.row_number().over(w) - 1).cast("long")})
+
+
+def attach_by_position(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """A column from a table of (scene, position, value): row n of an external label file belongs to point n."""
+    v = values.select("scene", F.col("position").alias("point_idx"), F.col("value").alias(column))
+    return df.join(v, KEY, "left")
+
+
 def lwh(df: DataFrame) -> DataFrame:
     """Sizes given as width, length, height in the order length, width, height."""
     return df.withColumn("size", F.array("l", "w", "h"))

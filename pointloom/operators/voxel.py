@@ -133,3 +133,8 @@ def mix_scenes(df: DataFrame, instance: str = "instance", p: float = 1.0, salt:
     s = s.join(first, "_pair").withColumn("_on", draw(salt, "_pair") < p)
     s = s.select("scene", F.when(F.col("_on"), F.col("_pair") * 2).otherwise(F.col("_rank")).alias("mix_id"), F.when(F.col("_on") & (F.col("_rank") % 2 == 1), F.greatest("_shift", F.lit(-1)) + 1).otherwise(F.lit(0)).alias("_shift"))
     return df.join(s, "scene").withColumn(instance, F.when(F.col(instance) >= 0, F.col(instance) + F.col("_shift")).otherwise(F.col(instance))).drop("_shift")
+
+
+def fan_back(predictions: DataFrame, inverse_map: DataFrame, keep=("pred",)) -> DataFrame:
+    """Predictions of voxels (scene, voxel_id, ...) at every point of :func:`inverse`."""
+    return inverse_map.join(predictions.select("scene", "voxel_id", *keep), ["scene", "voxel_id"]).select(*KEY, *keep)

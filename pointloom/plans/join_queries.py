@@ -438,3 +438,11 @@ def hilbert_round_trip(spark, sf):
     c = voxel.cells(points_li(spark, sf), 0.5)
     back = curve.decode(curve.encode(c.select("scene", "point_idx", *(F.col(g).alias(f"o{g}") for g in ("gx", "gy", "gz")), "gx", "gy", "gz"), "hilbert"), "hilbert")
     return back.select("scene", "point_idx", ((F.col("gx") == F.col("ogx")) & (F.col("gy") == F.col("ogy")) & (F.col("gz") == F.col("ogz"))).alias("same"))
+
+
+@query("asof_join", "WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts, value AS click FROM events WHERE event_type = 'click') SELECT v.user_id, v.event_id, c.click FROM v ASOF LEFT JOIN c ON v.user_id = c.user_id AND v.ts >= c.ts")
+def asof_join(spark, sf):
+    e = table(spark, sf, "events")
+    v = e.where("event_type = 'view'").select("user_id", "ts", "event_id")
+    c = e.where("event_type = 'click'").select("user_id", "ts", F.col("value").alias("click"))
+    return series.asof_join(v, c, "user_id", "ts", ["click"]).select("user_id", "event_id", "click")

@@ -157,3 +157,14 @@ def average_meter(spark, sf):
 @query("gradient_norm", f"SELECT event_type, {s6('sqrt(sum(value * value))')} AS norm FROM events GROUP BY event_type")
 def gradient_norm(spark, sf):
     return m.gradient_norm(spark.read.parquet(f"{sf}/events.parquet"), "value", ("event_type",)).select("event_type", r6("norm").alias("norm"))
+
+
+@query("iou_rollup", f"WITH {PREDS}, {_AREA} SELECT class, CAST(sum(i) AS BIGINT) AS intersection, CAST(sum(t) AS BIGINT) AS target, {s6('sum(i) / (sum(p + t - i) + 1e-10)')} AS iou FROM a GROUP BY ROLLUP (class)")
+def iou_rollup(spark, sf):
+    return m.rolled_up(preds_li(spark, sf), K).select("class", "intersection", "target", r6("iou").alias("iou"))
+
+
+@query("best_record", "SELECT event_type, max(value) AS value, arg_min(event_id, (-value, event_id)) AS event_id FROM events GROUP BY event_type")
+def best_record(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value", "event_id")
+    return m.best_record(e, "value", ("event_type",))

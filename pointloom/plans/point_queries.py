@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6
+from ..functions.expr import from_gray, r6, to_gray
 from ..operators import crops, curve, transforms as t, voxel
 from . import query
 from .views import EMB, EMB_S, LI, draw_sql, normal_sql, points_emb, points_emb_s, points_li, r6 as s6, uniform_sql
@@ -515,3 +515,35 @@ def hilbert(spark, sf):
 @query("curve_depth", f"WITH {LI}, {_cells(0.5, 'li')} SELECT scene, CAST(length(bin(greatest(max(gx), max(gy), max(gz)) + 1)) AS INT) AS depth FROM c GROUP BY scene")
 def curve_depth(spark, sf):
     return curve.depth_of(voxel.cells(points_li(spark, sf), 0.5))
+
+
+@query("fan_back", f"""WITH {LI}, {_cells(2.0, 'li')}, v AS (SELECT scene, gx, gy, gz, min(point_idx) AS pred FROM c GROUP BY ALL) SELECT c.scene AS scene, point_idx, pred FROM c JOIN v USING (scene, gx, gy, gz)""".replace("c.scene AS scene", "scene"))
+def fan_back(spark, sf):
+    p = points_li(spark, sf)
+    inv = voxel.inverse(p, 2.0)
+    return voxel.fan_back(inv.groupBy("scene", "voxel_id").agg(F.min("point_idx").alias("pred")), inv)
+
+
+@query("gray_codes", f"WITH {LI} SELECT scene, point_idx, xor(part, part >> 1) AS gray, part AS back FROM li")
+def gray_codes(spark, sf):
+    g = to_gray(F.col("part"))
+    return points_li(spark, sf).select("scene", "point_idx", g.alias("gray"), from_gray(g).alias("back"))
+
+
+@query("batched_code", f"WITH {LI}, {_cells(0.5, 'li')} SELECT scene, point_idx, (scene << 24) | {_CODE} AS code FROM c")
+def batched_code(spark, sf):
+    c = curve.encode(voxel.cells(points_li(spark, sf), 0.5))
+    return c.select("scene", "point_idx", curve.batched(F.col("code"), F.col("scene"), 8).alias("code"))
+
+
+@query("boxes_by_quaternion", f"""WITH {LI}, w AS (SELECT scene, point_idx, cos(strength) * (x - 1) + sin(strength) * (y - 2) AS ex, cos(strength) * (y - 2) - sin(strength) * (x - 1) AS ey, z - 3 AS ez, cos(strength) * g + sin(strength) * b AS vx, cos(strength) * b - sin(strength) * g AS vy, r, strength FROM li)
+SELECT scene, point_idx, {s6('ex - 0.5')} AS x, {s6('0.6::DOUBLE * (ey - 0.25) + 0.8::DOUBLE * ez')} AS y, {s6('0.6::DOUBLE * ez - 0.8::DOUBLE * (ey - 0.25)')} AS z, {s6('vx')} AS vx, {s6('0.6::DOUBLE * vy')} AS vy,
+    {s6('sqrt(0.8::DOUBLE) * cos(r / 200 - strength / 2)')} AS qw FROM w""")
+def boxes_by_quaternion(spark, sf):
+    c, s, half = F.col, F.lit(0.0), F.col("strength") / 2
+    # The sensor turns about x by the angle whose cosine is 0.6 and sine 0.8.
+    p = points_li(spark, sf).select("scene", "point_idx", F.array("x", "y", "z").alias("t"), F.array("g", "b", s).alias("v"), F.array(F.cos(c("r") / 200), s, s, F.sin(c("r") / 200)).alias("q"),
+        F.array(*(F.lit(v) for v in (1.0, 2.0, 3.0))).alias("ego_t"), F.array(F.cos(half), s, s, F.sin(half)).alias("ego_q"), F.array(*(F.lit(v) for v in (0.5, 0.25, 0.0))).alias("sensor_t"), F.array(F.lit(0.8**0.5), F.lit(0.2**0.5), s, s).alias("sensor_q"))
+    b = t.boxes_by_quaternion(p)
+    at = lambda n, i: r6(c(n)[i])
+    return b.select("scene", "point_idx", at("t", 0).alias("x"), at("t", 1).alias("y"), at("t", 2).alias("z"), at("v", 0).alias("vx"), at("v", 1).alias("vy"), at("q", 0).alias("qw"))

@@ -271,3 +271,29 @@ def test_prefix_equals_a_window(spark):
         run += r.v
         assert (r.rank, r.running) == (i, run)
     assert prefix(df.where("false"), "k").count() == 0
+
+
+def test_sensor_to_top_of_equal_frames_is_identity(spark):
+    from pointloom.operators import relational
+
+    q, s = [0.8, 0.1, -0.3, 0.5], [1.0, 2.0, 3.0]
+    names = ["sensor", "ego", "top", "top_ego"]
+    df = spark.createDataFrame([(1, *[q, s] * 4)], "id long, " + ", ".join(f"{n}_q array<double>, {n}_t array<double>" for n in names))
+    r = relational.top_lidar_matrices(df).first()
+    assert np.allclose(np.array(r.rotation).reshape(3, 3), np.eye(3)) and np.allclose(r.shift, 0)
+    assert relational.top_lidar_matrices(df.where("false")).count() == 0
+
+
+def test_range_images(spark):
+    rows = [(0, 1, 0, [5.0, 0.0], [1.0, 9.0], [2.0, 9.0], [3.0, 9.0]), (0, 0, 1, [7.0, 8.0], [4.0, 5.0], [4.0, 5.0], [4.0, 5.0])]
+    df = spark.createDataFrame(rows, "scene long, laser int, return_no int, ranges array<double>, xs array<double>, ys array<double>, zs array<double>")
+    got = [(r.point_idx, r.x, r.segment) for r in t.range_image_points(df).orderBy("point_idx").collect()]
+    assert got == [(0, 1.0, 0), (1, 4.0, 0), (2, 5.0, 0)]
+    labeled = t.range_image_points(df.withColumn("labels", F.array(F.lit(3), F.lit(4))))
+    assert [r.segment for r in labeled.orderBy("point_idx").collect()] == [3, 3, 4]
+
+
+def test_external_labels_join_by_position(spark, edges):
+    v = spark.createDataFrame([(1, 0, 7), (1, 3, 9)], "scene long, position long, value long")
+    got = {(r.scene, r.point_idx): r.part for r in t.attach_by_position(edges, v, "part").collect()}
+    assert got[(1, 0)] == 7 and got[(1, 3)] == 9 and got[(0, 0)] is None and len(got) == edges.count()
