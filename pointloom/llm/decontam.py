@@ -156,7 +156,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     out = None
     for index in blocks(benchmark, threshold=threshold, k=k):
         shared = sc.broadcast(index)
-        part = map_batches(docs, lambda it, s=shared: _matches(it, s), SCHEMA)
+        part = map_batches(docs, lambda it, s=shared: _matches(it, s), SCHEMA, ("words",))
         out = part if out is None else out.unionByName(part)
     return documents.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
@@ -172,5 +172,5 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = CO
     sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
     for index in blocks(benchmark, threshold=threshold, k=k):
         shared = sc.broadcast(index)
-        documents = map_batches(documents, lambda it, s=shared: _clean(it, s, at), documents.schema)
+        documents = map_batches(documents, lambda it, s=shared: _clean(it, s, at), documents.schema, ("words",))
     return documents

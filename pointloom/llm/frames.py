@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim, give_back
+
 #: Rows of an Arrow batch: long texts come in small batches.
 BATCH_ROWS = 256
 
@@ -53,10 +55,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with small batches, so that memory follows neither file nor text sizes."""
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, tables: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` with small batches, so that memory follows neither file nor text sizes.
+
+    ``tables`` names the cached tables that ``f`` uses; a worker drops all others first.
+    """
+
+    def run(it):
+        claim(*tables)
+        try:
+            yield from f(it)
+        finally:
+            give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column) -> list:

@@ -35,7 +35,7 @@ SYMBOLS = 1 + HEAD + TAIL
 GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 2048, 15
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose forward and backward values a task holds at once; longer training texts are cut there.
-SPAN = 1 << 18
+SPAN = 1 << 17
 #: Times the corpus' shares that are added to each state's counts.
 PRIOR = 50.0
 _END = b""
@@ -69,7 +69,7 @@ def _count(it):
         for text in utf8(b.column(0)):
             of.update(_words(text))
             ends += 1
-            if len(of) > 300_000:
+            if len(of) > 150_000:
                 yield from flush()
     if ends:
         of[_END] += ends

@@ -283,7 +283,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     their own class.  Repeated rows are copies of each other.  Ties do not arise.  Other
     columns are not read; an empty table gives an empty result.
     """
-    base = written(map_batches(id_text(documents), lambda it: _base(it, k), "doc_id long, fp binary, size long, sketch binary"), "sketches")
+    base = written(map_batches(id_text(documents), lambda it: _base(it, k), "doc_id long, fp binary, size long, sketch binary", ("words",)), "sketches")
     least_byte = F.expr(f"transform(sequence(0, {POSITIONS - 1}), x -> substring(sketch, 4 * x + 1, 1))")
     reps = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
     reps = written(reps, "representatives")
@@ -292,7 +292,7 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     found = written(map_batches(_dealt(_blocks(leaves, with_bytes)), lambda it: _search(it, threshold - SLACK), "node long, i long, j long, fp binary, partners array<binary>"), "candidates")
     wanted = reps.select("fp", "rep", "copies").join(found.select("fp").distinct(), "fp", "left_semi")
     texts = id_text(documents).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "doc_id", "copies", "text")
-    sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, rep long, copies long, items binary").dropDuplicates(["fp"])
+    sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, rep long, copies long, items binary", ("words",)).dropDuplicates(["fp"])
     full = found.join(sets, "fp").select("node", "i", "j", "fp", "rep", "copies", "items", "partners")
     links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, links long, u long, v long"), "links")
     roots = components(links.select("u", "v").distinct())

@@ -146,4 +146,4 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, share: f
     goes to every task, so it is meant for hundreds of notices.
     """
     index = build(TEMPLATES if templates is None else templates, share, k)
-    return map_batches(id_text(documents), lambda it: _scan(it, index), SCHEMA)
+    return map_batches(id_text(documents), lambda it: _scan(it, index), SCHEMA, ("stripped words",))

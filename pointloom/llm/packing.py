@@ -73,7 +73,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, longest: int = MAX_
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
     path = tokenizer or default_path()
-    return map_batches(id_text(documents), lambda it: _pieces(it, path, longest), SCHEMA)
+    return map_batches(id_text(documents), lambda it: _pieces(it, path, longest), SCHEMA, ("tokens",))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

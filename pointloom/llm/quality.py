@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import register
 from .frames import id_text, map_batches, utf8
 
 BUCKETS = 1 << 16
@@ -40,13 +41,14 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 class _Buckets(dict):
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[token] = h = xxhash.xxh3_64_intdigest(token)
         return h
 
 
 _BUCKETS = _Buckets()
+register("features", _BUCKETS.clear)
 
 
 def feature_buckets(text: bytes | None) -> np.ndarray:
@@ -152,7 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED,
     half = lambda d: xxhash.xxh3_64_intdigest(str(d).encode()) & 1
     trusted = frozenset(d for d, q in sample if q and not half(d))
     tuned = {d: q for d, q in sample if half(d)}
-    counted = map_batches(docs, lambda it: _counts(it, trusted), "bucket long, raw long, target long")
+    counted = map_batches(docs, lambda it: _counts(it, trusted), "bucket long, raw long, target long", ("features",))
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in rows:
@@ -165,7 +167,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED,
     p_target = (target + prior * p_raw * BUCKETS / 16) / (target.sum() + prior * BUCKETS / 16)
     model = Model(np.log(p_target) - np.log(p_raw), float("-inf"))
     ids = documents.sparkSession.createDataFrame([(d,) for d in tuned], "doc_id long")  # max_trusted rows of each class at most
-    scored = map_batches(id_text(documents).join(F.broadcast(ids), "doc_id", "left_semi"), lambda it: _scores_of(it, model), "doc_id long, score double")
+    scored = map_batches(id_text(documents).join(F.broadcast(ids), "doc_id", "left_semi"), lambda it: _scores_of(it, model), "doc_id long, score double", ("features",))
     model.threshold = best_threshold([(s, tuned[d]) for d, s in scored.collect()])
     return model
 
@@ -190,7 +192,7 @@ def judge(documents: DataFrame, model: Model) -> DataFrame:
     with a null id are judged each by itself; other columns are not read.  An empty
     table gives an empty result.
     """
-    return map_batches(id_text(documents), lambda it: _judge(it, model), SCHEMA)
+    return map_batches(id_text(documents), lambda it: _judge(it, model), SCHEMA, ("features",))
 
 
 def _kept_rows(it, model: Model, at: int):
@@ -205,4 +207,4 @@ def _kept_rows(it, model: Model, at: int):
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of ``documents`` that :func:`judge` keeps, with all their columns."""
     at = documents.columns.index("text")
-    return map_batches(documents, lambda it: _kept_rows(it, model, at), documents.schema)
+    return map_batches(documents, lambda it: _kept_rows(it, model, at), documents.schema, ("features",))

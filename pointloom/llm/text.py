@@ -10,9 +10,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .caches import register
+
 SHINGLE_WORDS = 5
 #: A worker's table of words is emptied when it holds this many; it is a cache only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _EDGE = b".,;:!?()[]{}\"'"
 
 
@@ -47,6 +49,8 @@ class _Hashes(dict):
 
 
 _PLAIN, _STRIPPED = _Hashes(False), _Hashes(True)
+register("words", _PLAIN.clear)
+register("stripped words", _STRIPPED.clear)
 
 
 def word_hashes(words: list[bytes], strip: bool = False) -> np.ndarray:

@@ -12,8 +12,10 @@ from itertools import chain
 
 import numpy as np
 
+from .caches import register
+
 END_ID = 2
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 
 
 def default_path() -> str:
@@ -94,3 +96,6 @@ class WordTokens:
         n = self._len[k]
         ends = np.cumsum(n)
         return self._flat[np.arange(ends[-1]) + np.repeat(self._start[k] - ends + n, n)]
+
+
+register("tokens", WordTokens._loaded.clear)

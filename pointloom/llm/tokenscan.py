@@ -44,7 +44,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
     A null or empty text is the separator alone.  Repeated rows are documents of their own.
     """
     path = tokenizer or default_path()
-    return written(map_batches(id_text(documents), lambda it: _write(it, path, folder, separator, width, limit), "path string, ordinal long, doc_id long"), "token-files")
+    return written(map_batches(id_text(documents), lambda it: _write(it, path, folder, separator, width, limit), "path string, ordinal long, doc_id long", ("tokens",)), "token-files")
 
 
 def _sizes(it):
