@@ -18,9 +18,11 @@ def _stars(edges: DataFrame, key: Sequence[str], rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(rounds):
         both = e.select(*k, "u", "v").unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*k, "u").agg(F.min("v").alias("m")).select(*k, "u", F.least("u", "m").alias("m"))
+        # Saved minima make the join one of two plain sides, which adaptive execution can split at a hub.
+        least = _saved(both.groupBy(*k, "u").agg(F.min("v").alias("m")).select(*k, "u", F.least("u", "m").alias("m")))
         large = both.join(least, [*k, "u"]).where("v > u").select(*k, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = large.groupBy(*k, "u").agg(F.min("v").alias("m"))
+        large = _saved(large)
+        m = _saved(large.groupBy(*k, "u").agg(F.min("v").alias("m")))
         small = large.join(m, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select(*k, "u", F.col("m").alias("v")))
         e = _saved(small.where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(38,0)"))).first())
