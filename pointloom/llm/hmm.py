@@ -36,6 +36,8 @@ GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 2048, 15
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose forward and backward values a task holds at once; longer training texts are cut there.
 SPAN = 1 << 17
+#: Steps between scalings; a step's probabilities are far above the EVERY-th root of the least double.
+EVERY = 8
 #: Times the corpus' shares that are added to each state's counts.
 PRIOR = 50.0
 _END = b""
@@ -193,55 +195,74 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_likelihoods(model: Model, seqs: list[np.ndarray], limit: int = SPAN) -> np.ndarray:
-    """log10 of each sequence's probability by the scaled forward recursion, all of a group step by step."""
+    """log10 of each sequence's probability by the scaled forward recursion, all of a group step by step.
+
+    Forward values are scaled to a sum of one at every EVERY-th step, and the scales' logarithms add up.
+    """
     out, ones = np.zeros(len(seqs)), np.ones(len(model.start))
     for group in _grouped(seqs, limit):
         obs, active = _padded([seqs[i] for i in group])
         total, a = np.zeros(len(group)), None
         for lo in range(0, len(obs), 256):
             e = model.emit[obs[lo : lo + 256]]
-            scale = np.ones((len(e), len(group)))
             for t in range(len(e)):
                 n = active[lo + t]
-                a = (np.broadcast_to(model.start, (n, len(ones))) if a is None else a[:n] @ model.move) * e[t, :n]
-                c = a @ ones
-                a = a / c[:, None]
-                scale[t, :n] = c
-            total += np.log10(scale).sum(axis=0)
+                a = model.start * e[t, :n] if a is None else a[:n] @ model.move * e[t, :n]
+                if (lo + t) % EVERY == EVERY - 1:
+                    c = a @ ones
+                    a /= c[:, None]
+                    total[:n] += np.log10(c)
+                after = active[lo + t + 1] if lo + t + 1 < len(obs) else 0
+                if after < n:
+                    total[after:n] += np.log10(a[after:] @ ones)
         out[group] = total
     return out
 
 
 def expected_counts(model: Model, seqs: list[np.ndarray], limit: int = SPAN) -> Model:
-    """Baum-Welch: expected starts, moves and emissions of the sequences, as a model of sums."""
+    """Baum-Welch: expected starts, moves and emissions of the sequences, as a model of sums.
+
+    Forward and backward values are scaled at every EVERY-th step only; each step's
+    posteriors are scaled to one afterwards, for all steps at once.
+    """
     k = len(model.start)
-    start, move, emit, ones = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)), np.ones(k)
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
+    back, ones = np.ascontiguousarray(model.move.T), np.ones(k)
     for group in _grouped(seqs, limit):
         obs, active = _padded([seqs[i] for i in group])
         steps, width = obs.shape
         e = model.emit[obs]
-        alpha = np.zeros((steps, width, k))
+        alpha, beta = np.zeros((steps, width, k)), np.ones((steps, width, k))
         for t in range(steps):
             n = active[t]
-            a = (np.broadcast_to(model.start, (n, k)) if t == 0 else alpha[t - 1, :n] @ model.move) * e[t, :n]
-            c = a @ ones
-            alpha[t, :n] = a / c[:, None]
-            e[t, :n] /= c[:, None]
-        beta = np.ones((width, k))
-        sums = np.zeros((k, k))
-        back = model.move.T.copy()
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t + 1 < steps:
-                m = active[t + 1]
-                b = e[t + 1, :m] * beta[:m]
-                sums += alpha[t, :m].T @ b
-                beta[:m] = b @ back
-            alpha[t, :n] *= beta[:n]
-        move += sums * model.move
-        start += alpha[0].sum(axis=0)
-        valid = np.arange(width)[None, :] < active[:, None]
-        flat, gamma = obs[valid], alpha[valid]
+            a = alpha[t, :n]
+            if t:
+                np.matmul(alpha[t - 1, :n], model.move, out=a)
+                a *= e[t, :n]
+            else:
+                np.multiply(model.start, e[0], out=a)
+            if t % EVERY == EVERY - 1:
+                a /= (a @ ones)[:, None]
+        for t in range(steps - 2, -1, -1):
+            m = active[t + 1]
+            e[t + 1, :m] *= beta[t + 1, :m]
+            e[t + 1, m:] = 0
+            b = beta[t, :m]
+            np.matmul(e[t + 1, :m], back, out=b)
+            if t % EVERY == 0:
+                b /= (b @ ones)[:, None]
+        # Moves: forward at t, move, and what stands in e at t + 1: emission times backward, 0 beyond a sequence's end.
+        f, g = alpha[:-1].reshape(-1, k), e[1:].reshape(-1, k)
+        z = np.einsum("ij,ij->i", f @ model.move, g)
+        z[z == 0] = 1
+        move += (f / z[:, None]).T @ g * model.move
+        alpha *= beta
+        gamma = alpha.reshape(-1, k)
+        z = gamma @ ones
+        z[z == 0] = 1
+        gamma /= z[:, None]
+        start += gamma[:width].sum(axis=0)
+        flat = obs.reshape(-1).astype(np.int64)
         for j in range(k):
             emit[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=SYMBOLS)
     return Model(start, move, emit)
