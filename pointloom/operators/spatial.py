@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +76,9 @@ def _saved(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="shared-")
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="shared-")  # one machine, as in tests
         sc.setCheckpointDir(at)
     return df.checkpoint()
 
