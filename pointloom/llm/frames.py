@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,9 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.get()
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="shared-")  # a session without the setting: tests on one machine
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="shared-")  # one machine, as in tests
     sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,9 +40,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends here and nothing is computed again."""
+def written(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends here and nothing is computed again.
+
+    Its path is added to ``scratch``, for :func:`drop_paths` when nothing reads it any more.
+    """
     path = new_path(df.sparkSession, what)
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,9 +57,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, tables: tuple[str, ...] = ()) -> DataFrame:
@@ -81,9 +89,3 @@ def utf8(column) -> list:
 def id_text(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, whatever else the table has."""
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-
-def heavy_keys(counts: DataFrame, key: str, n: str, least: int = 1000, at_most: int = 1000) -> DataFrame:
-    """Keys with many rows, ``at_most`` of them: those above 1/``at_most`` of all rows, a count that is bounded by construction."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > max(least, total / at_most)).select(key)

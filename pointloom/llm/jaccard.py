@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import id_text, map_batches, utf8, written
+from .frames import drop_paths, id_text, map_batches, utf8, written
 from .text import SHINGLE_WORDS, mix, seeds, shingle_set
 
 THRESHOLD = 0.8
@@ -239,13 +239,15 @@ def _verify(it, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array([fps[r] for r in rows], pa.binary()), pa.array(links[rows], pa.int64()), pa.array([ids[r] for r in rows], pa.int64()), pa.array([ids[top(r)] for r in rows], pa.int64())], schema=_LINKS)
 
 
-def _leaves(reps: DataFrame, threshold: float, runs: int, limit: int, depth: int) -> DataFrame:
+def _leaves(reps: DataFrame, threshold: float, runs: int, limit: int, depth: int, scratch: list[str]) -> DataFrame:
     """(fp, node, n, total): the leaves that two or more representatives share, with their members and summed set sizes."""
     rows, leaves = map_batches(reps.select("fp", "size", "sketch"), lambda it: _split(it, threshold, runs), "fp binary, size long, node long"), None
+    paths: list[str] = []
     for level in range(1, depth + 1):
-        rows = written(rows, f"paths-{level}")
+        rows = written(rows, f"paths-{level}", paths)
         met = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-        met = written(rows.drop("size").join(met, "node"), f"buckets-{level}")
+        met = written(rows.drop("size").join(met, "node"), f"buckets-{level}", scratch)
+        drop_paths(reps.sparkSession, paths)
         small = met.where(F.col("n") <= limit) if level < depth else met
         leaves = small if leaves is None else leaves.unionByName(small)
         large = met.where(F.col("n") > limit)
@@ -283,18 +285,19 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     their own class.  Repeated rows are copies of each other.  Ties do not arise.  Other
     columns are not read; an empty table gives an empty result.
     """
+    scratch: list[str] = []
     base = written(map_batches(id_text(documents), lambda it: _base(it, k), "doc_id long, fp binary, size long, sketch binary", ("words",)), "sketches")
     least_byte = F.expr(f"transform(sequence(0, {POSITIONS - 1}), x -> substring(sketch, 4 * x + 1, 1))")
     reps = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("sketch").alias("sketch"))
-    reps = written(reps, "representatives")
+    reps = written(reps, "representatives", scratch)
     with_bytes = reps.select("fp", F.unhex(F.array_join(F.transform(least_byte, lambda x: F.hex(x)), "")).alias("bytes"))
-    leaves = _leaves(reps, threshold, runs_for(recall, depth), limit, depth)
-    found = written(map_batches(_dealt(_blocks(leaves, with_bytes)), lambda it: _search(it, threshold - SLACK), "node long, i long, j long, fp binary, partners array<binary>"), "candidates")
+    leaves = _leaves(reps, threshold, runs_for(recall, depth), limit, depth, scratch)
+    found = written(map_batches(_dealt(_blocks(leaves, with_bytes)), lambda it: _search(it, threshold - SLACK), "node long, i long, j long, fp binary, partners array<binary>"), "candidates", scratch)
     wanted = reps.select("fp", "rep", "copies").join(found.select("fp").distinct(), "fp", "left_semi")
     texts = id_text(documents).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "doc_id", "copies", "text")
     sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, rep long, copies long, items binary", ("words",)).dropDuplicates(["fp"])
     full = found.join(sets, "fp").select("node", "i", "j", "fp", "rep", "copies", "items", "partners")
-    links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, links long, u long, v long"), "links")
+    links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, links long, u long, v long"), "links", scratch)
     roots = components(links.select("u", "v").distinct())
     of_rep = reps.join(links.groupBy("fp").agg(F.sum("links").alias("links")), "fp", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = of_rep.select("fp", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
