@@ -13,8 +13,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The least of each node u and its neighbours v."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """The least of each node u and its neighbours v; saved, so that its join is of two plain sides and can be split at a hub."""
+    return checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -34,7 +34,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = _both_ways(e)
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = checkpointed(large.where("u <> v").distinct())
         m = _least(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())

@@ -300,7 +300,9 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, links long, u long, v long"), "links", scratch)
     roots = components(links.select("u", "v").distinct())
     of_rep = reps.join(links.groupBy("fp").agg(F.sum("links").alias("links")), "fp", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select("fp", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # A table of its own, so that the join is of two plain sides and can be split at a class with very many copies.
+    of_rep = written(of_rep.select("fp", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
+    drop_paths(documents.sparkSession, scratch)
     return base.select("doc_id", "fp").join(of_rep, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
