@@ -38,11 +38,11 @@ def knn_by_scene(spark, sf):
     return spatial.knn(p, p, 5, 0.1).select("scene", "q", "r", F.col("rank").cast("long").alias("rank"))
 
 
-@query("knn_padded", f"""WITH {EMB_S}, few AS (SELECT * FROM emb WHERE point_idx % 97 = 0), ranked AS (SELECT a.scene, a.point_idx AS q, b.point_idx AS r, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
+@query("knn_padded", f"""WITH {EMB_S}, few AS (SELECT * FROM emb WHERE instance = 3), ranked AS (SELECT a.scene, a.point_idx AS q, b.point_idx AS r, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
 SELECT e.scene, e.point_idx AS q, CAST(k AS BIGINT) AS rank, coalesce(r, -1) AS r, {s6('coalesce(d, 100000)')} AS d FROM emb e CROSS JOIN generate_series(1, 3) s(k) LEFT JOIN ranked x ON x.scene = e.scene AND x.q = e.point_idx AND x.rank = k""")
 def knn_padded(spark, sf):
     p = points_emb_s(spark, sf)
-    near = spatial.knn(p, p.where(F.col("point_idx") % 97 == 0), 3, 0.1)
+    near = spatial.knn(p, p.where("instance = 3"), 3, 0.1)
     return spatial.with_padding(near, p, 3).select("scene", "q", F.col("rank").cast("long").alias("rank"), "r", r6("d").alias("d"))
 
 
@@ -72,11 +72,11 @@ def dilated_knn(spark, sf):
     return spatial.dilated_knn(p, p, 4, 2, 0.1).select("scene", "q", "r", "slot")
 
 
-@query("idw", f"""WITH {EMB_S}, few AS (SELECT * FROM emb WHERE point_idx % 3 = 0), ranked AS (SELECT a.scene, a.point_idx AS q, {_D2} AS d2, b.feat[1] AS v, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
+@query("idw", f"""WITH {EMB_S}, few AS (SELECT * FROM emb SEMI JOIN (SELECT scene, min(point_idx) AS point_idx FROM emb GROUP BY scene, floor(x / 0.1::DOUBLE), floor(y / 0.1::DOUBLE), floor(z / 0.1::DOUBLE)) v USING (scene, point_idx)), ranked AS (SELECT a.scene, a.point_idx AS q, {_D2} AS d2, b.feat[1] AS v, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
 SELECT scene, q, {s6('sum(v / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8))')} AS v FROM ranked WHERE rank <= 3 GROUP BY scene, q""")
 def idw(spark, sf):
     p = points_emb_s(spark, sf).withColumn("v", F.element_at("feat", 1))
-    return spatial.interpolate(p, p.where(F.col("point_idx") % 3 == 0), "v", 3, 0.1).select("scene", "q", r6("v").alias("v"))
+    return spatial.interpolate(p, voxel.dedupe_lowest(p, 0.1), "v", 3, 0.1).select("scene", "q", r6("v").alias("v"))
 
 
 @query("gather_rel", f"""WITH {EMB}, {_KNN.format(k=4)} SELECT k.scene, q, r, {s6('b.x - a.x')} AS rel_x, {s6('b.y - a.y')} AS rel_y, {s6('b.z - a.z')} AS rel_z, {s6('b.feat[2]')} AS f2 FROM knn k JOIN emb a ON a.point_idx = q JOIN emb b ON b.point_idx = r""")
@@ -190,11 +190,11 @@ def class_positions(spark, sf):
     return relational.class_positions(points_li(spark, sf), "segment", (5, 3, 1)).select("scene", "point_idx", F.col("segment").cast("int").alias("segment"))
 
 
-@query("segment_paint", f"""WITH {LI}, g AS (SELECT scene, part % 30 AS segment_id, max(instance % 12) AS group_no FROM li WHERE part % 3 = 0 GROUP BY ALL)
+@query("segment_paint", f"""WITH {LI}, g AS (SELECT scene, part % 30 AS segment_id, max(instance % 12) AS group_no FROM li WHERE segment > 2 GROUP BY ALL)
 SELECT li.scene, point_idx, coalesce(group_no, -1) AS group_no, coalesce(group_no * 10, -1) AS label FROM li LEFT JOIN g ON g.scene = li.scene AND segment_id = part % 30""")
 def segment_paint(spark, sf):
     p = points_li(spark, sf)
-    members = p.where("part % 3 = 0").select("scene", (F.col("part") % 30).alias("segment_id"), (F.col("instance") % 12).alias("group_no")).withColumn("label", F.col("group_no") * 10)
+    members = p.where("segment > 2").select("scene", (F.col("part") % 30).alias("segment_id"), (F.col("instance") % 12).alias("group_no")).withColumn("label", F.col("group_no") * 10)
     v = p.select("scene", F.col("point_idx").alias("vertex"), (F.col("part") % 30).alias("segment_id"))
     return relational.paint_segments(v, members).select("scene", F.col("vertex").alias("point_idx"), "group_no", "label")
 
