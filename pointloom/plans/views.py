@@ -56,7 +56,7 @@ def points_emb_s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EMB = "CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4:11] AS DOUBLE[]) AS feat"
-EMB = f"emb AS (SELECT 0 AS scene, vec_id AS point_idx, {_EMB}, CAST(label AS BIGINT) AS segment, vec_id % 17 AS instance FROM embeddings)"
+EMB = f"emb AS (SELECT CAST(0 AS BIGINT) AS scene, vec_id AS point_idx, {_EMB}, CAST(label AS BIGINT) AS segment, vec_id % 17 AS instance FROM embeddings)"
 EMB_S = f"emb AS (SELECT CAST(label AS BIGINT) AS scene, vec_id AS point_idx, {_EMB}, vec_id % 4 - 1 AS segment, vec_id % 17 AS instance FROM embeddings)"
 
 
