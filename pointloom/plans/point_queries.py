@@ -464,7 +464,11 @@ def multi_view(spark, sf):
     return crops.multi_view(points_emb_s(spark, sf), 2, 3).select("scene", "point_idx", "kind", "view")
 
 
-@query("early_fuse_blocks")
+_FUSED = _BLOCK.replace("FROM f1 JOIN q1 ON q1.scene = f1.scene", "FROM v f1 JOIN q1 ON q1.scene = f1.scene")
+
+
+@query("early_fuse_blocks", f"""{_FUSED} SELECT scene, point_idx, 0 AS block, 1 AS is_target FROM t0 UNION ALL SELECT scene, point_idx, 1, 1 FROM t1
+UNION ALL SELECT scene, point_idx, k, 0 FROM v ANTI JOIN (SELECT scene, point_idx FROM t0 UNION SELECT scene, point_idx FROM t1) t USING (scene, point_idx), (VALUES (0), (1)) b(k)""")
 def early_fuse_blocks(spark, sf):
     return crops.multi_block(points_emb_s(spark, sf), 2, early_fuse=True).select("scene", "point_idx", "block", "is_target")
 
