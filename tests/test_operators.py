@@ -297,3 +297,50 @@ def test_external_labels_join_by_position(spark, edges):
     v = spark.createDataFrame([(1, 0, 7), (1, 3, 9)], "scene long, position long, value long")
     got = {(r.scene, r.point_idx): r.part for r in t.attach_by_position(edges, v, "part").collect()}
     assert got[(1, 0)] == 7 and got[(1, 3)] == 9 and got[(0, 0)] is None and len(got) == edges.count()
+
+
+def test_multi_views_cover_what_they_say(spark):
+    """Local views lie around points of the major view, and a new one starts where no earlier one lies while there is such a place."""
+    df = random_cloud(spark, 200, 1, seed=4)
+    v = crops.multi_view(df, 1, 4, local_scale=(0.05, 0.1)).toPandas()
+    major = set(v[v.kind == "global"].point_idx)
+    seen: set = set()
+    for i in range(4):
+        local = v[(v.kind == "local") & (v.view == i)].sort_values("rank")
+        start = int(local.point_idx.iloc[0])
+        assert start in major and (start not in seen or major <= seen)
+        seen |= set(local.point_idx)
+
+
+def test_color_jitter_orders_and_bounds(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 3, i, *map(float, rng.uniform(0, 255, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "scene long, point_idx long, r double, g double, b double")
+    outs = []
+    for order in (0, 7, 23):
+        out = t.color_jitter(df, order=order).toPandas().sort_values("point_idx")[["r", "g", "b"]].to_numpy()
+        assert (out >= -1e-9).all() and (out <= 255 + 1e-9).all()
+        outs.append(out)
+    assert not np.allclose(outs[0], outs[2])
+    still = t.color_jitter(df, strength=(0.0, 0.0, 0.0, 0.0)).toPandas().sort_values("point_idx")[["r", "g", "b"]].to_numpy()
+    assert np.allclose(still, df.toPandas().sort_values("point_idx")[["r", "g", "b"]].to_numpy())
+
+
+def test_farthest_points_against_a_loop(spark):
+    df = random_cloud(spark, 80, 2, seed=9)
+    got = spatial.farthest_points(df, 10).toPandas()
+    for s, g in df.toPandas().groupby("scene"):
+        g = g.sort_values("point_idx")
+        p, ids = g[["x", "y", "z"]].to_numpy(), g.point_idx.to_list()
+        chosen = [0]
+        while len(chosen) < 10:
+            chosen.append(int(np.argmax([min(((p[i] - p[c]) ** 2).sum() for c in chosen) for i in range(len(p))])))
+        assert got[got.scene == s].sort_values("step").point_idx.to_list() == [ids[c] for c in chosen]
+
+
+def test_hilbert_column_equals_the_function(spark):
+    df = voxel.cells(random_cloud(spark, 50), 0.1)
+    p = curve.encode(df, "hilbert").toPandas()
+    assert (p.code.to_numpy() == curve.hilbert_code(p.gx, p.gy, p.gz)).all()
+    q = curve.encode(df, "hilbert-trans").toPandas()
+    assert (q.code.to_numpy() == curve.hilbert_code(q.gy, q.gx, q.gz)).all()
