@@ -15,7 +15,7 @@ import numpy as np
 from .caches import register
 
 END_ID = 2
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 
 
 def default_path() -> str:
