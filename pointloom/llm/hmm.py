@@ -1,8 +1,8 @@
 """A hidden Markov language model, trained by Baum-Welch counts that are summed across partitions.
 
 Words are lower-cased (A-Z); each text ends with one end token.  A hidden state emits a
-class: the end, one of the ``HEAD`` most frequent words, or one of ``TAIL`` classes of all
-other words by their last bytes; a class emits its words by their corpus counts,
+class: the end, one of the ``HEAD`` most frequent words (all that are looked up), or one of
+``TAIL`` classes of all other words by their last bytes; a class emits its words by their corpus counts,
 (c+1)/(C+V+1) with C tokens and V words in the class, so that an unknown word has a share.
 The likelihood of a text is exact: the scaled forward recursion over its classes, times the
 words' shares.
@@ -30,7 +30,9 @@ from .frames import map_batches, utf8, written
 
 STATES = 8
 ITERATIONS = 3
-HEAD, TAIL, LOOKUP, MAX_BYTES = 4095, 2048, 65_536, 64
+LOOKUP, TAIL, MAX_BYTES = 65_536, 2048, 64
+#: Words with emissions of their own: every word that is looked up.
+HEAD = LOOKUP
 SYMBOLS = 1 + HEAD + TAIL
 GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 2048, 15
 FOLDS, HELD_OUT = 7, 2
@@ -148,7 +150,7 @@ def _encode(it, shared):
         for doc, text, held in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
             words = _words(text)
             k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            s = np.zeros(len(words) + 1, np.uint16)
+            s = np.zeros(len(words) + 1, np.uint32)
             rare = np.flatnonzero(k < 0)
             known = np.flatnonzero(k >= 0)
             s[known] = v.symbol[k[known]]
@@ -188,7 +190,7 @@ def _grouped(seqs: list[np.ndarray], limit: int):
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols by step and sequence (longest first), and how many sequences have each step."""
     n = np.array([len(s) for s in seqs])
-    obs = np.zeros((n[0], len(seqs)), np.uint16)
+    obs = np.zeros((n[0], len(seqs)), np.uint32)
     for i, s in enumerate(seqs):
         obs[: len(s), i] = s
     return obs, np.searchsorted(-n, -np.arange(n[0]), "left")
@@ -269,7 +271,7 @@ def expected_counts(model: Model, seqs: list[np.ndarray], limit: int = SPAN) ->
 
 
 def estimated(sums: Model, shares: np.ndarray) -> Model:
-    """The model of expected counts; ``shares`` are the corpus' class shares, all positive."""
+    """The model of expected counts; ``shares`` are the corpus' class shares, positive for every class that a text can have."""
     emit = sums.emit + PRIOR * shares[:, None]
     move, start = sums.move + 0.1, sums.start + 0.1
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -287,7 +289,7 @@ def first_guess(seqs: list[np.ndarray], shares: np.ndarray, states: int) -> Mode
 
 
 def _spans(symbols: bytes) -> list[np.ndarray]:
-    s = np.frombuffer(symbols, np.uint16)
+    s = np.frombuffer(symbols, np.uint32)
     return [s[i : i + SPAN] for i in range(0, len(s), SPAN)]
 
 
@@ -326,7 +328,7 @@ def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iteratio
     small = rows.where(F.col("n_tokens") <= GUESS_TOKENS)
     ids = [r.rid for r in small.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(GUESS_ROWS).collect()]
     small = sorted(small.where(F.col("rid").isin(ids)).select("rid", "symbols").collect()) if ids else []
-    model = first_guess([np.frombuffer(r.symbols, np.uint16) for r in small], shares, states)
+    model = first_guess([np.frombuffer(r.symbols, np.uint32) for r in small], shares, states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(iterations):
         shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -340,7 +342,7 @@ def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iteratio
 
 def _score(it, shared):
     for b in it:
-        seqs = [np.frombuffer(s, np.uint16) for s in b.column(1).to_pylist()]
+        seqs = [np.frombuffer(s, np.uint32) for s in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(log_likelihoods(shared.value, seqs), pa.float64())], names=["rid", "log_classes"])
 
 
@@ -358,7 +360,9 @@ def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIO
     v = vocabulary(counts)
     shared = sc.broadcast(v)
     encoded = written(map_batches(rows, lambda it: _encode(it, shared), _ENCODED_SQL), "texts-as-classes")
-    shares = (v.mass + 1) / (v.mass.sum() + SYMBOLS)
+    shares = v.mass + 1
+    shares[1 + len(v.at) : 1 + HEAD] = 0  # symbols without a word take nothing from the others
+    shares /= shares.sum()
     model = sc.broadcast(train(encoded, shares, states, iterations))
     forward = map_batches(encoded.select("rid", "symbols"), lambda it: _score(it, model), "rid long, log_classes double")
     rare = encoded.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.n")
