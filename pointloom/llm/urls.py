@@ -77,16 +77,69 @@ _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
-def target_of(html: Column, tag: str, attribute: str) -> Column:
-    """The address in the first such tag; an empty string where there is none."""
-    return F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
+_ENTITY = r"(?is)&(?:amp|lt|gt|quot|apos|#\d{1,7}|#x[0-9a-f]{1,6});|[^&]+|&"
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def decoded(text: Column) -> Column:
+    """Numeric character references and those of XML's five names as their characters, each once."""
+
+    def one(t: Column) -> Column:
+        low = F.lower(t)
+        hexed = F.upper(F.lpad(F.regexp_extract(low, r"^&#x([0-9a-f]{1,6});$", 1), 8, "0"))
+        hexed = F.when(low.rlike(r"^&#x[0-9a-f]+;$"), hexed).when(low.rlike(r"^&#\d+;$"), F.lpad(F.hex(F.regexp_extract(low, r"^&#(\d+);$", 1).try_cast("long")), 8, "0"))
+        # Surrogates and numbers beyond Unicode stay as they are.
+        valid = hexed.between("00000001", "0000D7FF") | hexed.between("0000E000", "0010FFFF")
+        out = F.when(valid, F.decode(F.unhex(F.when(valid, hexed)), "UTF-32"))
+        for name, char in _NAMED.items():
+            out = F.when(low == name, F.lit(char)).otherwise(out)
+        return F.when(t.startswith("&"), F.coalesce(out, t)).otherwise(t)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), 0), one), "")).otherwise(text)
+
+
+def _dotless(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target on the page ``base`` as an address with ``://``; null where it leads to no host, as ``mailto:`` does."""
+    host, path = F.regexp_extract(_rest(base), r"^([^/?#]*)", 1), path_of(base)
+    own, tail = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    query = query_of(base)
+    same = F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    rest = (
+        F.when(own.startswith("/"), F.concat(_dotless(own), tail))
+        .when(own != "", F.concat(_dotless(F.concat(folder, own)), tail))
+        .when(tail.startswith("?"), F.concat(path, tail))
+        .when(tail != "", F.concat(same, tail))
+    )
+    relative = F.when(host != "", F.concat(F.lit("x://"), host, rest))
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+
+
+def targets_of(html: Column, tag: str, attribute: str) -> Column:
+    """The addresses in all such tags, decoded; an empty string for a tag without one."""
+    return F.transform(F.regexp_extract_all(html, F.lit(tag), 0), lambda t: decoded(F.regexp_extract(t, attribute, 1)))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): from each page's node to its canonical link, its refresh target and its plain address, without loops."""
-    html = F.coalesce("html", F.lit(""))
-    targets = F.array(node_of(target_of(html, _LINK, _HREF)), node_of(target_of(html, _REFRESH, _URL)), plain_of(F.col("url")))
-    e = pages.select(node_of(F.col("url")).alias("u"), F.explode(targets).alias("v"))
+    """(u, v): from each page's node to its canonical links, its refresh targets and its plain address, without loops.
+
+    Targets are decoded and resolved against the page's url; all such tags of a page count.
+    """
+    html, url = F.coalesce("html", F.lit("")), F.col("url")
+    links = F.concat(targets_of(html, _LINK, _HREF), targets_of(html, _REFRESH, _URL))
+    p = pages.select(node_of(url).alias("u"), "url", plain_of(url).alias("plain"), links.alias("links"))
+    linked = p.select("u", "url", F.explode("links").alias("t")).select("u", node_of(resolved(F.col("t"), F.col("url"))).alias("v"))
+    e = p.select("u", F.col("plain").alias("v")).unionByName(linked)
     return e.where("u is not null and v is not null and u <> v").distinct()
 
 
