@@ -17,7 +17,7 @@ from .files import Rolling, open_in, size_of
 from .frames import id_text, map_batches, new_path, utf8, written
 from .tokens import WordTokens, default_path
 
-SEPARATOR = 49_407  # <|endoftext|> of the vocabulary, which no ordinary text yields
+SEPARATOR = 65_535  # beyond the vocabulary, so that no text yields it, not even one with its <|endoftext|>
 WIDTH = 2
 BLOCK_BYTES = 8 << 20
 FILE_BYTES = 64 << 20
@@ -32,7 +32,9 @@ def _write(it, path: str, folder: str, separator: int, width: int, limit: int):
             uri = out.room()
             ordinal, last = (ordinal + 1, uri) if uri == last else (0, uri)
             ids = tokens.ids(text)
-            out.write(np.append(ids[ids != separator], np.uint32(separator)).astype(kind).tobytes())
+            if len(ids) and ((ids == separator).any() or int(ids.max()) >> 8 * width):
+                raise ValueError("a text's token is the separator, or wider than the file's ids")
+            out.write(np.append(ids, np.uint32(separator)).astype(kind).tobytes())
             rows.append((uri, ordinal, doc))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, [pa.string(), pa.int64(), pa.int64()])], names=["path", "ordinal", "doc_id"])
     out.close()
@@ -42,6 +44,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
     """Write every text's ids and the separator to files in ``folder``; returns (path, ordinal, doc_id), a table already written.
 
     A null or empty text is the separator alone.  Repeated rows are documents of their own.
+    Every token is written; a separator that a text's tokens contain is an error.
     """
     path = tokenizer or default_path()
     return written(map_batches(id_text(documents), lambda it: _write(it, path, folder, separator, width, limit), "path string, ordinal long, doc_id long", ("tokens",)), "token-files")
