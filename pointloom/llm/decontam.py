@@ -6,7 +6,8 @@ classes (u/2, u], and each class has its own sketch, whose resolution follows u:
 permutation MinHash, that is, every hash falls into one of B bins and each bin keeps its
 least value.  For an item of q shingles of which t*q are in a document, one bin agrees
 with probability p >= B/u * (1 - exp(-u/B)); B is chosen for every class and item-size
-class so that all bins miss with probability under ``MISS``.  An item is a candidate
+class so that all bins miss with probability under ``MISS``.  Where that takes as many bins
+as the document has shingles, as for items of one or few, all its shingles are looked up.  An item is a candidate
 where any bin's least value is one of its own; true word shingles then decide.
 
 The items are searched in blocks of at most ``BLOCK_SHINGLES`` shingles, each block's
@@ -96,10 +97,13 @@ def search(index: Index, text: bytes | None) -> list[tuple[int, int, int]]:
         h, v = sketches[k]
         n_bins = bins_for(1 << (len(h) - 1).bit_length(), hits)
         # Bins are ranges of the mixed hash, so that of sorted hashes the first in each bin is its least.
-        bins = (v * np.uint64(n_bins)) >> np.uint64(32)
-        first = np.ones(len(h), bool)
-        first[1:] = bins[1:] != bins[:-1]
-        least = h[first]
+        if n_bins >= len(h):
+            least = h
+        else:
+            bins = (v * np.uint64(n_bins)) >> np.uint64(32)
+            first = np.ones(len(h), bool)
+            first[1:] = bins[1:] != bins[:-1]
+            least = h[first]
         at = np.searchsorted(keys, least)
         at[at == len(keys)] = 0
         found = least[keys[at] == least]
@@ -117,10 +121,14 @@ def search(index: Index, text: bytes | None) -> list[tuple[int, int, int]]:
     return [(i, n, own) for i, (_, n, own) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES):
-    """Indexes over the items, each of ``most`` shingles at most (or one item); the items stream through the driver."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES, named: bool = True):
+    """Indexes over the items, each of ``most`` shingles at most (or one item); the items stream through the driver.
+
+    ``named=False``: over all texts, those without an id too, each as item 0.
+    """
     part, size = [], 0
-    rows = benchmark.selectExpr(f"cast({id_col} as long)", f"cast({text_col} as binary)").where(f"{id_col} is not null and {text_col} is not null").distinct()
+    rows = benchmark.where(f"{text_col} is not null").where(f"{id_col} is not null" if named else "true")
+    rows = rows.selectExpr(f"cast({id_col} as long)" if named else "0L", f"cast({text_col} as binary)").distinct()
     for item, text in rows.toLocalIterator():
         text = bytes(text)
         n = len(text.split())
@@ -168,9 +176,9 @@ def _clean(it, shared, at: int):
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``documents`` that contain no test item, with all their columns."""
+    """The rows of ``documents`` that contain no test item, with or without an id, with all their columns."""
     sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
-    for index in blocks(benchmark, threshold=threshold, k=k):
+    for index in blocks(benchmark, threshold=threshold, k=k, named=False):
         shared = sc.broadcast(index)
         documents = map_batches(documents, lambda it, s=shared: _clean(it, s, at), documents.schema, ("words",))
     return documents
