@@ -3,7 +3,8 @@
 The reader checks every record: version line, headers, length, closing lines, and the
 digests the record names.  After a failed check it searches on for the next gzip member or
 version line that begins a valid record, goes on from there, and logs the bytes between as
-a quarantined gap.
+a quarantined gap.  Within a gzip member of many records it searches the decompressed bytes
+likewise, as far as they can be decompressed; such a gap names its offset in the member.
 """
 
 from __future__ import annotations
@@ -110,21 +111,35 @@ class _Window:
         return self.data[at - self.start : at - self.start + n]
 
 
-def _member(w: _Window, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, and where it ends."""
+def _before_error(z, part: bytes) -> bytes:
+    """What a decompressor makes of the bytes before its error: in pieces, then byte by byte."""
+    out = []
+    for step in (1024, 1):
+        while part:
+            saved = z.copy()
+            try:
+                out.append(z.decompress(part[:step]))
+            except zlib.error:
+                z = saved
+                break
+            part = part[step:]
+    return b"".join(out)
+
+
+def _member(w: _Window, at: int) -> tuple[bytes, int | None, str | None]:
+    """The content of the gzip member at a place and where it ends; or what comes before an error, and the error."""
     z, out, p = zlib.decompressobj(31), [], at
     while not z.eof:
         part = w.take(p, 1 << 16)
         if not part:
-            raise _Bad("the member is cut off")
+            return b"".join(out), None, "the member is cut off"
+        saved = z.copy()
         try:
             out.append(z.decompress(part))
         except zlib.error as e:
-            raise _Bad(f"gzip: {e}") from None
+            return b"".join([*out, _before_error(saved, part)]), None, f"gzip: {e}"
         p += len(part)
-        if len(out) == 1 and not _VERSION.startswith(out[0][:7]) and not out[0].startswith(_VERSION):
-            raise _Bad("the member holds no record")
-    return b"".join(out), p - len(z.unused_data)
+    return b"".join(out), p - len(z.unused_data), None
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -167,22 +182,42 @@ def _length(head: bytes) -> int:
     return int(n[1])
 
 
-def _in_member(data: bytes) -> list[dict]:
-    out, p = [], 0
+def _one(data: bytes, p: int) -> tuple[dict, int]:
+    """The record at a place of a member's content, and where it ends."""
+    line = _VERSION_LINE.match(data, p)
+    if not line:
+        raise _Bad("no version line")
+    end = data.find(b"\r\n\r\n", line.end())
+    if end < 0:
+        raise _Bad("the head has no end")
+    head, body = data[line.end() : end], end + 4
+    stop = body + _length(head)
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        raise _Bad("the record does not end where it says")
+    return _parsed(head, data[body:stop]), stop + 4
+
+
+def _in_member(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of a member's content, and (offset, bytes, reason) of what lies between them."""
+    out, gaps, p = [], [], 0
     while p < len(data):
-        line = _VERSION_LINE.match(data, p)
-        if not line:
-            raise _Bad("no version line")
-        end = data.find(b"\r\n\r\n", line.end())
-        if end < 0:
-            raise _Bad("the head has no end")
-        head, body = data[line.end() : end], end + 4
-        stop = body + _length(head)
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise _Bad("the record does not end where it says")
-        out.append(_parsed(head, data[body:stop]))
-        p = stop + 4
-    return out
+        try:
+            r, end = _one(data, p)
+        except _Bad as e:
+            gap, why, r = p, str(e), None
+            while r is None and (line := _VERSION_LINE.search(data, p + 1)):
+                p = line.start()
+                try:
+                    r, end = _one(data, p)
+                except _Bad:
+                    continue
+            if r is None:
+                p = end = len(data)
+            gaps.append((gap, p - gap, why))
+        if r is not None:
+            out.append(r)
+        p = end
+    return out, gaps
 
 
 def _plain(w: _Window, at: int) -> tuple[list[dict], int]:
@@ -205,13 +240,20 @@ def _plain(w: _Window, at: int) -> tuple[list[dict], int]:
     return [_parsed(head[line.end() : end], w.take(body, stop - body))], stop + 4
 
 
-def _at(w: _Window, at: int) -> tuple[list[dict], int]:
+def _at(w: _Window, at: int) -> tuple[list[dict], list[str], int | None]:
+    """The records at a place, what is lost between them, and where they end: null for a member that breaks off."""
     lead = w.take(at, 7)
     if lead.startswith(_GZIP):
-        data, end = _member(w, at)
-        return _in_member(data), end
+        data, end, error = _member(w, at)
+        records, gaps = _in_member(data)
+        # The checksum covers the heads, digests do not: a broken member's only record may be what is broken.
+        if (error or gaps) and (not records or error and len(records) == 1 and not gaps):
+            raise _Bad(error or gaps[0][2])
+        notes = [f"{n} bytes from {p} in the member: {why}" for p, n, why in gaps]
+        return records, notes + [f"from {len(data)} in the member: {error}"] * bool(error), end
     if lead.startswith(_VERSION):
-        return _plain(w, at)
+        records, end = _plain(w, at)
+        return records, [], end
     raise _Bad("neither a member nor a version line")
 
 
@@ -226,24 +268,33 @@ def _next(w: _Window, at: int) -> int:
 
 
 def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict | None]]:
-    """(at, bytes, reason, record): records, with no reason, and gaps, with no record, in file order."""
-    w, at = _Window(file, size), 0
+    """(at, bytes, reason, record): records, with no reason, and gaps, with no record, in file order.
+
+    What a gzip member has lost follows its records, with the member's place and length; the
+    reason gives the offset in its content.
+    """
+    w, at, ahead = _Window(file, size), 0, None
     while at < size:
+        start, here, why, end = at, ahead, None, None
+        ahead = None
         try:
-            records, end = _at(w, at)
+            here = here or _at(w, at)
+            end = here[2]
         except _Bad as e:
-            gap, why = at, str(e)
-            while (at := _next(w, at + 1)) < size:
+            why = str(e)
+        if end is None:
+            end = start
+            while (end := _next(w, end + 1)) < size:
                 try:
-                    records, end = _at(w, at)
+                    ahead = _at(w, end)
                     break
                 except _Bad:
                     continue
-            yield gap, at - gap, why, None
-            if at >= size:
-                return
+        records, notes = here[:2] if here else ([], [why])
         for r in records:
-            yield at, end - at, None, r
+            yield start, end - start, None, r
+        for note in notes:
+            yield start, end - start, note, None
         at = end
 
 
