@@ -19,8 +19,8 @@ from .tokens import END_ID, WordTokens, default_path
 
 MAX_LENGTH = 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
-#: Pieces of an Arrow batch hold about so many bytes of ids.
-OUT_BYTES = 8 << 20
+#: Pieces of an Arrow batch hold about so many bytes of ids, and are at most so many.
+OUT_BYTES, OUT_ROWS = 8 << 20, 8192
 PER_BUCKET = 1 << 58
 PER_PARTITION = 1 << 34
 
@@ -54,7 +54,7 @@ def _pieces(it, path: str, longest: int):
                 made[bucket] += 1
                 start += n
                 held += 4 * n
-                if held >= OUT_BYTES:
+                if held >= OUT_BYTES or len(rows) >= OUT_ROWS:
                     yield batch()
                     rows, held = [], 0
     if rows:

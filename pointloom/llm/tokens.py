@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public tokenizer that splits at white space.
 
 The tokenizer never merges across white space, so a text's ids are those of its
-words in a row.  Each worker keeps a table of the words it has met; a text costs one
-look-up per word and one vectorised gather.
+words in a row.  Its special tokens are found in a text as it is written, before letters
+are lower-cased; so words that may hold one keep their case.  Each worker keeps a table
+of the words it has met; a text costs one look-up per word and one vectorised gather.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
@@ -32,6 +34,17 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOW = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512)))
 
 
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _known_splits(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases, cuts words as :data:`_PLAIN` expects and shows bytes as :data:`_SHOW` does."""
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    by_pattern = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0].get("invert") is True
+    return steps == ["NFC", "Replace", "Lowercase"] and by_pattern and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+
+
 def _shown(part: str) -> str:
     return part if part.isascii() else part.encode().decode("latin-1").translate(_SHOW)
 
@@ -46,7 +59,9 @@ class WordTokens:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._direct = path.endswith("word_bpe_49k.json")
+        #: The first two bytes of each special token: words with them are looked up in their own case.
+        self._marks = sorted({t.content.encode()[:2] for t in self._tokenizer.get_added_tokens_decoder().values()})
+        self._direct = _known_splits(json.loads(self._tokenizer.to_str()))
         self._clear()
 
     @classmethod
@@ -85,6 +100,8 @@ class WordTokens:
         words = (text or b"").lower().split()
         if not words:
             return np.empty(0, np.uint32)
+        if self._marks and any(m in text for m in self._marks):
+            words = [w if any(m in w for m in self._marks) else w.lower() for w in text.split()]
         if len(self._at) > MAX_WORDS:
             self._clear()
         at = self._at
