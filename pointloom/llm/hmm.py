@@ -10,8 +10,10 @@ words' shares.
 Counts of words cover all training texts.  The ``LOOKUP`` most frequent words, of at most
 ``MAX_BYTES`` bytes, go to every task; counts of all others meet their texts in a join, as
 (row, word, times) of rare words only.  A first guess of the states is trained on the driver
-from at most ``GUESS_ROWS`` whole texts of at most ``GUESS_TOKENS`` tokens; then every
-training text counts in each of ``ITERATIONS`` rounds.
+from at most ``GUESS_ROWS`` whole texts of any length, the least by a hash of their doc_id, as
+far as they hold ``GUESS_TOKENS`` tokens together; then every training text counts in each of
+``ITERATIONS`` rounds.  Long texts are counted span by span, with forward and backward values
+carried across, so no text is cut.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ LOOKUP, TAIL, MAX_BYTES = 65_536, 2048, 64
 #: Words with emissions of their own: every word that is looked up.
 HEAD = LOOKUP
 SYMBOLS = 1 + HEAD + TAIL
-GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 2048, 15
+GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 1 << 19, 15
 FOLDS, HELD_OUT = 7, 2
-#: Tokens whose forward and backward values a task holds at once; longer training texts are cut there.
+#: Tokens whose forward and backward values a task holds at once.
 SPAN = 1 << 17
 #: Steps between scalings; a step's probabilities are far above the EVERY-th root of the least double.
 EVERY = 8
@@ -101,16 +103,18 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("c"))).alias("e")).first()
-    # Words above the least count that LOOKUP words reach, found in a histogram of 16 bins per doubling.
+    # The LOOKUP most frequent words, by a histogram of counts with 16 bins per doubling; of the last bin a part by hash.
     short = counts.where((F.length("word") > 0) & (F.length("word") <= MAX_BYTES)).withColumn("bin", F.floor(16 * F.log2("c")))
-    bins, room, least = sorted(short.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True), LOOKUP, None
-    for r in bins:  # 16 x 63 rows at most
-        room -= r.n
-        if room < 0:
+    room, taken = LOOKUP, F.lit(True)
+    for r in sorted(short.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):  # 16 x 63 rows at most
+        if r.n > room:
+            part = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int((1 << 30) * room / r.n)
+            taken = (F.col("bin") > r.bin) | ((F.col("bin") == r.bin) & part)
             break
-        least = r.bin
-    top = short.where(F.col("bin") >= least).select("word", "c").collect() if least is not None else []  # LOOKUP rows of MAX_BYTES at most
+        room -= r.n
+    top = short.where(taken).select("word", "c").collect()  # about LOOKUP rows of MAX_BYTES
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
+    del top[LOOKUP:]
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], np.float64)
     symbol = np.array([1 + i if i < HEAD else tail_class(w) for i, w in enumerate(words)], np.int64)
@@ -221,6 +225,74 @@ def log_likelihoods(model: Model, seqs: list[np.ndarray], limit: int = SPAN) ->
     return out
 
 
+def _add_counts(model: Model, obs: np.ndarray, active: np.ndarray, sums: Model, enter: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Add a group's expected counts to ``sums``.
+
+    A span of a longer text is a group of one: ``enter`` has the forward values before it,
+    ``after`` what stands after it, emission times backward; returned is the same for its own
+    first step.
+    """
+    k, ones, back = len(model.start), np.ones(len(model.start)), np.ascontiguousarray(model.move.T)
+    steps, width = obs.shape
+    e = model.emit[obs]
+    alpha, beta = np.zeros((steps, width, k)), np.ones((steps, width, k))
+    for t in range(steps):
+        n = active[t]
+        a = alpha[t, :n]
+        if t or enter is not None:
+            np.matmul(alpha[t - 1, :n] if t else enter[None, :], model.move, out=a)
+            a *= e[t, :n]
+        else:
+            np.multiply(model.start, e[0], out=a)
+        if t % EVERY == EVERY - 1:
+            a /= (a @ ones)[:, None]
+    if after is not None:
+        beta[-1] = after @ back
+        beta[-1] /= beta[-1].sum()
+    for t in range(steps - 2, -1, -1):
+        m = active[t + 1]
+        e[t + 1, :m] *= beta[t + 1, :m]
+        e[t + 1, m:] = 0
+        b = beta[t, :m]
+        np.matmul(e[t + 1, :m], back, out=b)
+        if t % EVERY == 0:
+            b /= (b @ ones)[:, None]
+    # Moves: forward at t, move, and what stands in e at t + 1: emission times backward, 0 beyond a sequence's end.
+    f, g = alpha[:-1].reshape(-1, k), e[1:].reshape(-1, k)
+    if after is not None:
+        f, g = np.concatenate([f, alpha[-1]]), np.concatenate([g, after[None, :]])
+    z = np.einsum("ij,ij->i", f @ model.move, g)
+    z[z == 0] = 1
+    sums.move += (f / z[:, None]).T @ g * model.move
+    first = e[0, 0] * beta[0, 0]
+    alpha *= beta
+    gamma = alpha.reshape(-1, k)
+    z = gamma @ ones
+    z[z == 0] = 1
+    gamma /= z[:, None]
+    if enter is None:
+        sums.start += gamma[:width].sum(axis=0)
+    flat = obs.reshape(-1).astype(np.int64)
+    for j in range(k):
+        sums.emit[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=SYMBOLS)
+    return first / first.sum()
+
+
+def _add_long(model: Model, seq: np.ndarray, sums: Model, span: int) -> None:
+    """A text of more than one span: forward values at the cuts first, then the spans from the last to the first."""
+    cuts, enter = range(0, len(seq), span), [None]
+    for lo in cuts[:-1]:
+        a = enter[-1]
+        for row in model.emit[seq[lo : lo + span]]:
+            a = model.start * row if a is None else a @ model.move * row
+            a = a / a.sum()
+        enter.append(a)
+    after = None
+    for lo, a in zip(reversed(cuts), reversed(enter)):
+        part = seq[lo : lo + span]
+        after = _add_counts(model, part[:, None], np.ones(len(part), np.int64), sums, a, after)
+
+
 def expected_counts(model: Model, seqs: list[np.ndarray], limit: int = SPAN) -> Model:
     """Baum-Welch: expected starts, moves and emissions of the sequences, as a model of sums.
 
@@ -228,46 +300,13 @@ def expected_counts(model: Model, seqs: list[np.ndarray], limit: int = SPAN) ->
     posteriors are scaled to one afterwards, for all steps at once.
     """
     k = len(model.start)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k))
-    back, ones = np.ascontiguousarray(model.move.T), np.ones(k)
+    sums = Model(np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)))
     for group in _grouped(seqs, limit):
-        obs, active = _padded([seqs[i] for i in group])
-        steps, width = obs.shape
-        e = model.emit[obs]
-        alpha, beta = np.zeros((steps, width, k)), np.ones((steps, width, k))
-        for t in range(steps):
-            n = active[t]
-            a = alpha[t, :n]
-            if t:
-                np.matmul(alpha[t - 1, :n], model.move, out=a)
-                a *= e[t, :n]
-            else:
-                np.multiply(model.start, e[0], out=a)
-            if t % EVERY == EVERY - 1:
-                a /= (a @ ones)[:, None]
-        for t in range(steps - 2, -1, -1):
-            m = active[t + 1]
-            e[t + 1, :m] *= beta[t + 1, :m]
-            e[t + 1, m:] = 0
-            b = beta[t, :m]
-            np.matmul(e[t + 1, :m], back, out=b)
-            if t % EVERY == 0:
-                b /= (b @ ones)[:, None]
-        # Moves: forward at t, move, and what stands in e at t + 1: emission times backward, 0 beyond a sequence's end.
-        f, g = alpha[:-1].reshape(-1, k), e[1:].reshape(-1, k)
-        z = np.einsum("ij,ij->i", f @ model.move, g)
-        z[z == 0] = 1
-        move += (f / z[:, None]).T @ g * model.move
-        alpha *= beta
-        gamma = alpha.reshape(-1, k)
-        z = gamma @ ones
-        z[z == 0] = 1
-        gamma /= z[:, None]
-        start += gamma[:width].sum(axis=0)
-        flat = obs.reshape(-1).astype(np.int64)
-        for j in range(k):
-            emit[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=SYMBOLS)
-    return Model(start, move, emit)
+        if len(seqs[group[0]]) > limit:
+            _add_long(model, seqs[group[0]], sums, limit)
+        else:
+            _add_counts(model, *_padded([seqs[i] for i in group]), sums)
+    return sums
 
 
 def estimated(sums: Model, shares: np.ndarray) -> Model:
@@ -288,11 +327,6 @@ def first_guess(seqs: list[np.ndarray], shares: np.ndarray, states: int) -> Mode
     return model
 
 
-def _spans(symbols: bytes) -> list[np.ndarray]:
-    s = np.frombuffer(symbols, np.uint32)
-    return [s[i : i + SPAN] for i in range(0, len(s), SPAN)]
-
-
 def _expect(it, shared):
     model: Model = shared.value
     k = len(model.start)
@@ -309,12 +343,11 @@ def _expect(it, shared):
     size = 0
     for b in it:
         for symbols in b.column(0).to_pylist():
-            for s in _spans(symbols):
-                held.append(s)
-                size += len(s)
-        if size > 4 * SPAN:
-            add()
-            size = 0
+            held.append(np.frombuffer(symbols, np.uint32))
+            size += len(held[-1])
+            if size > 4 * SPAN:
+                add()
+                size = 0
     if held:
         add()
     values = np.concatenate([total.start[None, :], total.move, total.emit])
@@ -325,9 +358,12 @@ def _expect(it, shared):
 def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
     """Baum-Welch over all training rows; a round's sums are SYMBOLS + states + 1 rows once added up."""
     rows = encoded.where("not held_out")
-    small = rows.where(F.col("n_tokens") <= GUESS_TOKENS)
-    ids = [r.rid for r in small.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(GUESS_ROWS).collect()]
-    small = sorted(small.where(F.col("rid").isin(ids)).select("rid", "symbols").collect()) if ids else []
+    picked, room = [], GUESS_TOKENS
+    for r in rows.select("rid", "n_tokens").orderBy(F.xxhash64("doc_id"), "doc_id", "n_tokens", "log_all", "rid").limit(GUESS_ROWS).collect():
+        if r.n_tokens <= room:
+            picked.append(r.rid)
+            room -= r.n_tokens
+    small = sorted(rows.where(F.col("rid").isin(picked)).select("n_tokens", "symbols").collect()) if picked else []
     model = first_guess([np.frombuffer(r.symbols, np.uint32) for r in small], shares, states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(iterations):
@@ -340,10 +376,13 @@ def train(encoded: DataFrame, shares: np.ndarray, states: int = STATES, iteratio
     return model
 
 
+_PASSED = ["rid", "doc_id", "held_out", "n_tokens", "known", "log_all", "log_within"]
+
+
 def _score(it, shared):
     for b in it:
-        seqs = [np.frombuffer(s, np.uint32) for s in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(log_likelihoods(shared.value, seqs), pa.float64())], names=["rid", "log_classes"])
+        seqs = [np.frombuffer(s, np.uint32) for s in b.column(len(_PASSED)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(_PASSED))), pa.array(log_likelihoods(shared.value, seqs), pa.float64())], names=[*_PASSED, "log_classes"])
 
 
 def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
@@ -364,10 +403,10 @@ def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIO
     shares[1 + len(v.at) : 1 + HEAD] = 0  # symbols without a word take nothing from the others
     shares /= shares.sum()
     model = sc.broadcast(train(encoded, shares, states, iterations))
-    forward = map_batches(encoded.select("rid", "symbols"), lambda it: _score(it, model), "rid long, log_classes double")
+    forward = map_batches(encoded.select(*_PASSED, "symbols"), lambda it: _score(it, model), "rid long, doc_id long, held_out boolean, n_tokens long, known long, log_all double, log_within double, log_classes double")
     rare = encoded.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.n")
     found = rare.join(counts.where(F.length("word") > 0), "word").groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_rare"), F.sum("n").alias("rare_known"))
-    out = encoded.drop("symbols", "tail").join(forward, "rid").join(found, "rid", "left")
+    out = forward.join(found, "rid", "left")
     rest = F.coalesce("log_rare", F.lit(0.0))
     norm = float(np.log10(v.tokens + v.words + 1))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("log_all") + rest - F.col("n_tokens") * norm).alias("base_score"), (F.col("log_classes") + F.col("log_within") + rest).alias("score"))
