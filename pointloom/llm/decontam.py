@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import id_text, map_batches, utf8
+from .frames import id_text, map_batches, utf8, written
 from .text import SHINGLE_WORDS, mix, shingle_hashes, word_hashes
 
 CONTAINMENT = 0.8
@@ -122,19 +122,20 @@ def search(index: Index, text: bytes | None) -> list[tuple[int, int, int]]:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES, named: bool = True):
-    """Indexes over the items, each of ``most`` shingles at most (or one item); the items stream through the driver.
+    """Indexes over the items, each of ``most`` shingles at most (or one item); the items stream through the driver in order of their ids.
 
-    ``named=False``: over all texts, those without an id too, each as item 0.
+    All texts of an item are in one block.  ``named=False``: over all texts, those without
+    an id too, each as item 0.
     """
     part, size = [], 0
     rows = benchmark.where(f"{text_col} is not null").where(f"{id_col} is not null" if named else "true")
-    rows = rows.selectExpr(f"cast({id_col} as long)" if named else "0L", f"cast({text_col} as binary)").distinct()
-    for item, text in rows.toLocalIterator():
+    rows = rows.selectExpr(f"cast({id_col} as long)" if named else "0L", f"cast({text_col} as binary)").toDF("item", "text").distinct()
+    for item, text in rows.orderBy("item", "text").toLocalIterator():
         text = bytes(text)
         n = len(text.split())
         if not n:
             continue
-        if part and size + n > most:
+        if part and size + n > most and not (named and part[-1][0] == item):
             yield build(part, threshold, k)
             part, size = [], 0
         part.append((item, text))
@@ -157,16 +158,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
     Words are lower-cased (A-Z).  An item under k words is one shingle of its own length.
     Null or empty texts and items match nothing; items with a null id are left out; of
-    several texts of one item id the best contained counts (within a block); repeated rows
-    are judged each by itself; other columns are not read; empty tables give an empty result.
+    several texts of one item id the best contained counts; repeated rows are judged each by
+    itself; whole texts are searched, however long; other columns are not read; empty tables
+    give an empty result.  Of several blocks all but the last are searched at once, so that one
+    block's index is held at a time.
     """
-    sc, docs = documents.sparkSession.sparkContext, id_text(documents)
-    out = None
+    spark, docs = documents.sparkSession, id_text(documents)
+    out, part, shared = None, None, None
     for index in blocks(benchmark, threshold=threshold, k=k):
-        shared = sc.broadcast(index)
+        if part is not None:
+            done = written(part, "matches")
+            shared.destroy()
+            out = done if out is None else out.unionByName(done)
+        shared = spark.sparkContext.broadcast(index)
         part = map_batches(docs, lambda it, s=shared: _matches(it, s), SCHEMA, ("words",))
-        out = part if out is None else out.unionByName(part)
-    return documents.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    if part is None:
+        return spark.createDataFrame([], SCHEMA)
+    return part if out is None else out.unionByName(part)
 
 
 def _clean(it, shared, at: int):
@@ -176,9 +184,18 @@ def _clean(it, shared, at: int):
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``documents`` that contain no test item, with or without an id, with all their columns."""
+    """The rows of ``documents`` that contain no test item, with or without an id, with all their columns.
+
+    Null and empty texts contain nothing and stay, as do rows without a doc_id; repeated rows
+    are judged each by itself; whole texts are searched; without items all rows stay; an empty
+    table gives an empty result.  One block's index is held at a time, as in :func:`contaminated`.
+    """
     sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
+    shared = None
     for index in blocks(benchmark, threshold=threshold, k=k, named=False):
+        if shared is not None:
+            documents = written(documents, "clean-so-far")
+            shared.destroy()
         shared = sc.broadcast(index)
         documents = map_batches(documents, lambda it, s=shared: _clean(it, s, at), documents.schema, ("words",))
     return documents
