@@ -27,19 +27,31 @@ CONTAINMENT = 0.8
 COLLISION = 0.9999
 SCHEMA = "doc_id long, license string, first_word long, n_words long, n_shared long, n_template long, containment double"
 
-#: Well-known notices, as their licenses give them.
+#: Well-known notices, as their licenses give them: fixed values.
 TEMPLATES = {
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "mit": "Released under the MIT License.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mit": "Released under the MIT License.",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -49,6 +61,11 @@ def bands_for(q: int, words: int, share: float) -> int:
     return max(1, math.ceil(math.log(1 - COLLISION) / math.log(1 - min(s, 1 - 1e-9))))
 
 
+def window_words(n: int, k: int = SHINGLE_WORDS) -> int:
+    """The length class of a template of n words; its windows have twice as many shingles."""
+    return max(min(k, n), 1 << (n - 1).bit_length())
+
+
 @dataclass
 class _Class:
     words: int
@@ -71,9 +88,10 @@ def build(templates: dict[str, str], share: float = CONTAINMENT, k: int = SHINGL
     names, sets, parts = [], [], defaultdict(list)
     for name, text in sorted(templates.items()):
         wh = word_hashes(text.encode().split(), strip=True)
+        wh = wh[wh != 0]
         if len(wh):
             own = min(k, len(wh))
-            parts[(own, max(own, 1 << (len(wh) - 1).bit_length()))].append(len(names))
+            parts[(own, window_words(len(wh), k))].append(len(names))
             names.append(name)
             sets.append(np.unique(shingle_hashes(wh, own)))
     classes = []
@@ -97,11 +115,13 @@ def _mixed(h: np.ndarray, m: np.uint64) -> np.ndarray:
 
 
 def scan_text(index: Index, text: bytes | None) -> list[tuple[str, int, int, int, int]]:
-    """(license, first word, words, shared, template's shingles): the best window of each license found."""
+    """(license, first word, words, shared, template's shingles) of every occurrence: of windows that overlap, the best."""
     words = (text or b"").split()
     if not words:
         return []
-    wh, best = word_hashes(words, strip=True), {}
+    wh, found = word_hashes(words, strip=True), defaultdict(list)
+    place = np.flatnonzero(wh)  # of words that are not marks alone
+    wh = wh[place]
     shingles: dict[int, np.ndarray] = {}
     for c in index.classes:
         if len(wh) < c.k:
@@ -123,9 +143,15 @@ def scan_text(index: Index, text: bytes | None) -> list[tuple[str, int, int, int
             shared = len(np.unique(window[inside]))
             if shared >= index.share * len(index.sets[i]) - 1e-9:
                 where = np.flatnonzero(inside) + at * c.words
-                found = (shared, -int(where[0]), int(where[-1] - where[0]) + c.k)
-                best[i] = max(best.get(i, found), found)
-    return sorted((index.names[i], -first, n, shared, len(index.sets[i])) for i, (shared, first, n) in best.items())
+                found[i].append((-shared, int(place[where[0]]), int(place[where[-1] + c.k - 1]) + 1))
+    out = []
+    for i, windows in found.items():
+        taken: list[tuple[int, int]] = []
+        for shared, first, stop in sorted(windows):
+            if all(stop <= a or b <= first for a, b in taken):
+                taken.append((first, stop))
+                out.append((index.names[i], first, stop - first, -shared, len(index.sets[i])))
+    return sorted(out)
 
 
 def _scan(it, index: Index):
@@ -137,10 +163,12 @@ def _scan(it, index: Index):
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, share: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document row and license template found in it, with its best window.
+    """One row per document row and occurrence of a license template in it, with its place in the text's words.
 
-    Words are compared without case (A-Z) and without marks at their ends.  Of equally good
-    windows the first counts.  Null and empty texts have no license; repeated rows are
+    Words are compared without case (A-Z) and without marks at their ends; words of marks
+    alone, as those that lead the lines of a comment, are passed over.  Of windows of one
+    template that overlap the best counts, of equally good ones the first.  Whole texts are
+    read, however long.  Null and empty texts have no license; repeated rows are
     scanned each by itself; templates without a word are left out; other columns are not
     read; an empty table gives an empty result.  ``templates`` is a parameter of the call and
     goes to every task, so it is meant for hundreds of notices.

@@ -15,7 +15,8 @@ from .caches import register
 SHINGLE_WORDS = 5
 #: A worker's table of words is emptied when it holds this many; it is a cache only.
 CACHE_WORDS = 150_000
-_EDGE = b".,;:!?()[]{}\"'"
+#: Marks at the ends of words, those that lead lines of a comment in source code among them.
+_EDGE = b".,;:!?()[]{}\"'#*/;%<>-"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,8 +44,8 @@ class _Hashes(dict):
             self.clear()
         key = word.lower()
         if self.strip_edges:
-            key = key.strip(_EDGE) or key
-        self[word] = h = xxhash.xxh3_64_intdigest(key)
+            key = key.strip(_EDGE)
+        self[word] = h = xxhash.xxh3_64_intdigest(key) if key else 0
         return h
 
 
@@ -54,7 +55,7 @@ register("stripped words", _STRIPPED.clear)
 
 
 def word_hashes(words: list[bytes], strip: bool = False) -> np.ndarray:
-    """64-bit hashes of lower-cased words; ``strip`` drops punctuation at their ends."""
+    """64-bit hashes of lower-cased words; ``strip`` drops marks at their ends, and gives 0 for words of marks alone."""
     return np.fromiter(map((_STRIPPED if strip else _PLAIN).__getitem__, words), np.uint64, len(words))
 
 

@@ -202,11 +202,14 @@ def test_bins_keep_the_bound():
         assert (1 - (1 - math.exp(-a)) / a) ** hits <= decontam.MISS * 1.01
 
 
+EDGE = ".,;:!?()[]{}\"'#*/;%<>-"
+
+
 def brute_licenses(text, templates, share=0.8):
-    clean = [w.strip(".,;:!?()[]{}\"'") or w for w in WORD.findall((text or "").lower())]
+    clean = [w for w in (w.strip(EDGE) for w in WORD.findall((text or "").lower())) if w]
     out = set()
     for name, t in templates.items():
-        v = [w.strip(".,;:!?()[]{}\"'") or w for w in t.lower().split()]
+        v = [w for w in (w.strip(EDGE) for w in t.lower().split()) if w]
         n = min(5, len(v))
         own = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
         for at in range(max(1, len(clean))):
@@ -237,6 +240,18 @@ def test_licenses_are_found_wherever_they_stand(spark, words, odd_rows):
         assert all(brute_licenses(t, {n: licenses.TEMPLATES[n]}, 0.8) for n in got.get(doc, ()))
 
 
+def test_licenses_in_source_code_and_more_than_once(spark, words):
+    t = licenses.TEMPLATES["apache-2.0-header"].split()
+    lines = [" ".join(t[i : i + 6]) for i in range(0, len(t), 6)]
+    rows = [(i, "int x;\n" + "\n".join(f"{lead} {x}" for x in lines) + "\n" + tail) for i, (lead, tail) in enumerate([("#", ""), (" *", "*/"), ("//", ""), ("//", "////"), (";;", ""), ("--", "")])]
+    filler = " ".join(words[:300])
+    rows.append((50, f"{' '.join(t)} {filler} # {' # '.join(t)} {filler} {licenses.TEMPLATES['mit']}"))
+    got = licenses.scan(spark.createDataFrame(rows, DOCS)).where("license in ('apache-2.0-header', 'mit')").collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and all(r.containment == 1.0 for r in got)
+    n = len(t)
+    assert sorted((r.license, r.first_word, r.n_words) for r in got if r.doc_id == 50) == [("apache-2.0-header", 0, n), ("apache-2.0-header", n + 301, 2 * n - 1), ("mit", 3 * n + 600, 5)]
+
+
 def test_license_places_and_edges(spark, clashing, odd):
     d = spark.createDataFrame([(1, "so it says: RELEASED under the MIT License, and more")], DOCS)
     r = licenses.scan(d).collect()
