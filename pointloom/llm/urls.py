@@ -4,7 +4,8 @@ Rules name a host suffix and a path prefix.  A url with a fitting rule takes the
 verdict of the longest one.  Urls that redirect to each other, or name each other as
 canonical, are one alias class (connected components); a url without a rule takes the
 verdict of its class: allow where any ruled alias is allowed, else block where any is
-blocked, else allow.
+blocked, else allow.  Apart from these, and only where the caller adds them, addresses that
+differ in tracking parameters alone are taken as variants of one (:func:`variant_edges`).
 """
 
 from __future__ import annotations
@@ -52,10 +53,9 @@ def node_of(url: Column) -> Column:
 
 
 def plain_of(url: Column) -> Column:
-    """The address a server redirects variants to: no tracking parameters, no closing slash, no ``.html``."""
+    """The address without tracking parameters, which tell where a visitor came from and not what is served."""
     host, path = host_of(url), path_of(url)
     params = F.filter(F.split(query_of(url), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(_TRACKING))
-    path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", "")
     return F.when(host != "", F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")))
 
 
@@ -71,7 +71,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -131,15 +131,22 @@ def targets_of(html: Column, tag: str, attribute: str) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v): from each page's node to its canonical links, its refresh targets and its plain address, without loops.
+    """(u, v): from each page's node to its canonical links and refresh targets, without loops.
 
-    Targets are decoded and resolved against the page's url; all such tags of a page count.
+    Targets are decoded and resolved against the page's url; all such tags of a page count,
+    and a ``rel`` may have further words.  Null and empty pages have no links; repeated rows
+    give an edge once; an empty table gives no edges.
     """
     html, url = F.coalesce("html", F.lit("")), F.col("url")
     links = F.concat(targets_of(html, _LINK, _HREF), targets_of(html, _REFRESH, _URL))
-    p = pages.select(node_of(url).alias("u"), "url", plain_of(url).alias("plain"), links.alias("links"))
-    linked = p.select("u", "url", F.explode("links").alias("t")).select("u", node_of(resolved(F.col("t"), F.col("url"))).alias("v"))
-    e = p.select("u", F.col("plain").alias("v")).unionByName(linked)
+    p = pages.select(node_of(url).alias("u"), url.alias("url"), F.explode(links).alias("t"))
+    e = p.select("u", node_of(resolved(F.col("t"), F.col("url"))).alias("v"))
+    return e.where("u is not null and v is not null and u <> v").distinct()
+
+
+def variant_edges(pages: DataFrame) -> DataFrame:
+    """(u, v): from each page's node to the same address without tracking parameters.  No redirects: a choice of the caller's."""
+    e = pages.select(node_of(F.col("url")).alias("u"), plain_of(F.col("url")).alias("v"))
     return e.where("u is not null and v is not null and u <> v").distinct()
 
 

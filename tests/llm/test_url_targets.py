@@ -38,3 +38,36 @@ def test_all_tags_count_and_decide(spark):
     assert edges(spark, [(1, "http://a.org/d/p", html)]) == {("a.org/d/p", v) for v in ("b.org/1", "a.org/two", "c.org/3", "a.org/d/four")}
     pages = spark.createDataFrame([(1, "http://a.org/d/p", CANONICAL.format("//b.net/fr/1"))], "page_id long, url string, html string")
     assert [r.verdict for r in urls.judge(pages, urls.link_edges(pages)).collect()] == ["block"]
+
+
+def test_rel_may_have_more_words(spark):
+    tags = ['<link rel="alternate canonical" href="/1">', "<link href='/2' rel='canonical next'>", "<link rel=canonical href=/3>", '<link rel="not-canonical" href="/4">', '<link rel="canonicals" href="/5">', '<link rel=canonicalx href=/6>']
+    assert edges(spark, [(i, f"http://a.org/p{i}", t) for i, t in enumerate(tags)]) == {(f"a.org/p{i}", f"a.org/{i + 1}") for i in range(3)}
+
+
+def test_decisions_reach_aliases_through_chains_and_hubs(spark):
+    """From pages to verdicts, with chains of redirects and a hub, against sets that are joined one by one."""
+    import random
+
+    from .conftest import as_rows
+    from .test_join_operators import brute_urls
+
+    rng = random.Random(21)
+    names = [f"http://{rng.choice('abc')}{i}.{rng.choice(['org', 'net', 'com', 'info'])}/{rng.choice(['fr/', 'es/', '', 'x/'])}{i}" for i in range(120)]
+    rows, want = [], set()
+    for i, u in enumerate(names):
+        html = ""
+        if 0 < i < 30:
+            html, v = REFRESH.format(names[i - 1]), names[i - 1]  # a chain
+        elif 30 <= i < 70:
+            html, v = CANONICAL.format(names[30].split(":", 1)[1]), names[30]  # a hub, by a scheme-relative address
+        elif rng.random() < 0.4:
+            v = u.rsplit("/", 1)[0] + f"/other{i % 7}"
+            html = CANONICAL.format(f"other{i % 7}")
+        if html and v != u:
+            want.add((u.split("://")[1], v.split("://")[1]))
+        rows.append((i, u, html))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urls.link_edges(pages)
+    assert {tuple(r) for r in got.collect()} == want
+    assert as_rows(urls.judge(pages, got).select("page_id", "host", "path", "rule", "verdict")) == brute_urls([r[:2] for r in rows], sorted(want))
