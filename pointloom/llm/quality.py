@@ -29,6 +29,10 @@ from .frames import id_text, map_batches, utf8
 BUCKETS = 1 << 16
 MAX_TRUSTED = 16_384
 SMOOTHING = 1.0
+#: Of this many features on average, spread as in the raw corpus, the target's prior consists: one for each 16 buckets, times PRIOR.
+PRIOR, PRIOR_BUCKETS = 20.0, BUCKETS / 16
+#: Rejecting a good document costs as much as keeping so many bad ones: what is rejected is lost, what is kept meets later stages.
+GOOD_COST = 10.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
@@ -104,15 +108,28 @@ def _label_sample(labels: DataFrame, max_trusted: int) -> list[tuple[int, int]]:
     return [(r.doc_id, int(r.q)) for r in picked[0].unionByName(picked[1]).collect()]
 
 
+def _add(held: tuple[list[np.ndarray], list[np.ndarray]], raw: np.ndarray, target: np.ndarray) -> None:
+    """Add the buckets of other and of trusted texts to the counts."""
+    for buckets, into in ((held[0], (raw,)), (held[1], (raw, target))):
+        if buckets:
+            n = np.bincount(np.concatenate(buckets), minlength=BUCKETS)
+            for counts in into:
+                counts += n
+
+
 def _counts(it, trusted: frozenset[int]):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in it:
         known = [d in trusted for d in batch.column(0).to_pylist()]
+        held, size = ([], []), 0
         for text, t in zip(utf8(batch.column(1)), known):
             b = feature_buckets(text)
-            np.add.at(raw, b, 1)
-            if t:
-                np.add.at(target, b, 1)
+            held[t].append(b)
+            size += len(b)
+            if size > 1 << 20:
+                _add(held, raw, target)
+                held, size = ([], []), 0
+        _add(held, raw, target)
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -127,10 +144,10 @@ def _scores_of(it, model: Model):
         yield pa.RecordBatch.from_pylist([{"doc_id": d, "score": s} for d, s in passed], pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]))
 
 
-def best_threshold(scores: list[tuple[float, int]]) -> float:
+def best_threshold(scores: list[tuple[float, int]], good_cost: float = GOOD_COST) -> float:
     """The cut with the best sum of both classes' shares that fall on their right side.
 
-    Rejecting a good document costs as much as keeping ten bad ones.  Of equally good cuts
+    Rejecting a good document costs as much as keeping ``good_cost`` bad ones.  Of equally good cuts
     the lowest counts, and it lies in the middle of the gap there.  Without both classes:
     -inf, nothing is rejected.
     """
@@ -141,7 +158,7 @@ def best_threshold(scores: list[tuple[float, int]]) -> float:
     cuts = np.unique(np.array(good))
     kept_good = 1 - np.searchsorted(good, cuts, "left") / len(good)
     cut_bad = np.searchsorted(bad, cuts, "left") / len(bad)
-    value = 10 * kept_good + cut_bad
+    value = good_cost * kept_good + cut_bad
     best = float(cuts[int(np.flatnonzero(value >= value.max() - 1e-12)[0])])
     below = [s for s in bad if s < best]
     return (best + below[-1]) / 2 if below else float("-inf")
@@ -163,8 +180,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED,
         return Model(np.zeros(BUCKETS), float("-inf"))
     p_raw = (raw + smoothing) / (raw.sum() + smoothing * BUCKETS)
     # The target is drawn towards the raw corpus where it has seen little: its prior is the raw multinomial.
-    prior = 20.0 * smoothing
-    p_target = (target + prior * p_raw * BUCKETS / 16) / (target.sum() + prior * BUCKETS / 16)
+    prior = PRIOR * smoothing * PRIOR_BUCKETS
+    p_target = (target + prior * p_raw) / (target.sum() + prior)
     model = Model(np.log(p_target) - np.log(p_raw), float("-inf"))
     ids = documents.sparkSession.createDataFrame([(d,) for d in tuned], "doc_id long")  # max_trusted rows of each class at most
     scored = map_batches(id_text(documents).join(F.broadcast(ids), "doc_id", "left_semi"), lambda it: _scores_of(it, model), "doc_id long, score double", ("features",))
@@ -205,6 +222,11 @@ def _kept_rows(it, model: Model, at: int):
 
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``documents`` that :func:`judge` keeps, with all their columns."""
+    """The rows of ``documents`` that :func:`judge` keeps, with all their columns.
+
+    Null and empty texts go, as they fail the base rules; rows without a doc_id and repeated
+    rows are judged each by itself; whole texts are read, however long; an empty table gives
+    an empty result.
+    """
     at = documents.columns.index("text")
     return map_batches(documents, lambda it: _kept_rows(it, model, at), documents.schema, ("features",))
