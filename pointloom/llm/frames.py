@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .caches import claim, give_back
 
-#: Rows of an Arrow batch: long texts come in small batches.
+#: Rows that an operator is handed at a time.
 BATCH_ROWS = 256
 
 
@@ -64,19 +64,25 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, tables: tuple[str, ...] = ()) -> DataFrame:
-    """``mapInArrow`` with small batches, so that memory follows neither file nor text sizes.
+    """``mapInArrow`` over slices of at most ``BATCH_ROWS`` rows.
 
+    Spark bounds the batches themselves by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``,
+    64 MB where the session says nothing else), so a worker holds that much, or one row.
     ``tables`` names the cached tables that ``f`` uses; a worker drops all others first.
     """
 
+    def sliced(it):
+        for b in it:
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                yield b.slice(at, BATCH_ROWS)
+
     def run(it):
         claim(*tables)
         try:
-            yield from f(it)
+            yield from f(sliced(it))
         finally:
             give_back()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
