@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -39,7 +41,7 @@ def _parts(select: str, url: str, source: str) -> str:
 
 
 _NODE = "CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END"
-_PLAIN = r"""CASE WHEN host <> '' THEN host || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '')
+_PLAIN = r"""CASE WHEN host <> '' THEN host || path
     || CASE WHEN len(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '^(utm_[a-z]+|ref|fbclid|gclid)$'))) > 0
        THEN '?' || array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '^(utm_[a-z]+|ref|fbclid|gclid)$')), '&') ELSE '' END END"""
 _LINK = r"""regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)"""
@@ -100,7 +102,54 @@ h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM h JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """
 
+BASE_RULES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 1))) u(i)),
+often AS (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN often USING (doc_id, s), (VALUES (0), (1), (2)) o(k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda s: ascii(s)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda s, z: xor(s >> 1, (s & 1) * 3988292384::BIGINT))))"""
+
+UNIGRAM_SCORES = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_CRC.format("doc_id::VARCHAR")} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOWER.format("coalesce(text, '')"))}, '') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+    floor(sum(log10((coalesce(c, 0) + 1) / (n.n + n.v + 1))) * 10000 + 0.5) / 10000 + 0.0 AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""
+
+_EDGE = r"[.,;:!?()\[\]{}\"''#*/;%<>-]"
+_PARTED = f"""list_filter(list_transform({_WORDS.format(_LOWER.format("text"))}, lambda s: regexp_replace(regexp_replace(s, '^{_EDGE}+', ''), '{_EDGE}+$', '')), lambda s: s <> '')"""
+
+
+def _license_hits() -> str:
+    """Templates that have a window in a document with four fifths of their shingles; all have five words or more."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
+    cut = "SELECT {0}, i, array_to_string(w[i:i + 4], ' ') AS s FROM {1}, unnest(range(1, len(w) - 3)) u(i)"
+    return f"""
+WITH t AS MATERIALIZED (SELECT license, {_PARTED} AS w FROM (VALUES {rows}) v(license, text)),
+size AS (SELECT license, CAST(pow(2, ceil(log2(len(w)))) AS BIGINT) AS l FROM t),
+ts AS MATERIALIZED (SELECT DISTINCT license, s FROM ({cut.format("license", "t")})), tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+d AS (SELECT doc_id, {_PARTED} AS w FROM documents WHERE text IS NOT NULL),
+h AS MATERIALIZED (SELECT doc_id, license, (i - 1) // l AS nr, s FROM ({cut.format("doc_id", "d")}) JOIN ts USING (s) JOIN size USING (license)),
+x AS (SELECT doc_id, license, nr + o AS nr, count(DISTINCT s) AS k FROM h, (VALUES (0), (-1)) y(o) GROUP BY ALL)
+SELECT DISTINCT doc_id, license FROM x JOIN tn USING (license) WHERE nr >= 0 AND k >= 0.8 * n - 1e-9
+"""
+
+
 ORACLE = {
+    "base_rules": BASE_RULES,
+    "unigram_scores": UNIGRAM_SCORES,
+    "license_hits": _license_hits(),
     "op2_jaccard_join": JACCARD_JOIN,
     "op4_url_filters": URL_FILTERS,
     "op6_warc": WARC,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontam, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
 from .frames import table
@@ -24,7 +25,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.link_edges(pages))
+    return urls.judge(pages, urls.link_edges(pages).unionByName(urls.variant_edges(pages)))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,22 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+# What SQL can express of op1, op5 and op10, whose own rows hold hashes or a model's scores.
+
+
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = F.floor(F.col("base_score") * 10000 + 0.5) / 10000
+    return op5_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", rounded.alias("base_score"))
+
+
+def license_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_license_scans(spark, sf_dir).select("doc_id", "license").distinct()
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -64,4 +81,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_license_scans": op10_license_scans,
+    "base_rules": base_rules,
+    "unigram_scores": unigram_scores,
+    "license_hits": license_hits,
 }
