@@ -24,6 +24,8 @@ from .frames import map_batches, new_path, written
 
 MIN_PAYLOAD = 100
 FILE_BYTES = 64 << 20
+#: Digests of repeated payloads that are sent to every task at most: some 10 MB.
+SENT_DIGESTS = 100_000
 _CHUNK = 1 << 20
 _GZIP, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _SIGNATURE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -68,19 +70,25 @@ def _write(it, folder: str, limit: int, compress: bool):
     yield pa.RecordBatch.from_arrays([pa.array(list(made)), pa.array(list(made.values()), pa.int64())], names=["path", "n_records"]) if made else pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64())], names=["path", "n_records"])
 
 
-def with_revisits(pages: DataFrame, least: int = MIN_PAYLOAD) -> DataFrame:
+def with_revisits(pages: DataFrame, least: int = MIN_PAYLOAD, most: int = SENT_DIGESTS) -> DataFrame:
     """page_id, url, html, kind, refers_to: of equal payloads of ``least`` bytes or more the smallest page_id is the response.
 
-    Payloads are compared by SHA-256; groups of one are dropped before the join, whose other
-    side is one row per group, aggregated before its shuffle.  Rows without a page_id are
-    responses where no row of their group has one.  Rows that repeat the smallest page_id
-    are responses each.
+    Payloads are compared by SHA-256.  Only digests are shuffled to find those that occur
+    twice, one row per digest and task.  Where these are at most ``most`` they go to every
+    task and payloads stay where they are; else payloads join them by digest, those under
+    ``least`` bytes by keys of their own.  Rows without a page_id are responses where no row
+    of their group has one.  Rows that repeat the smallest page_id are responses each.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    p = p.withColumn("digest", F.when(F.length("html") >= least, F.sha2("html", 256)))
-    first = p.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    digest = F.unhex(F.sha2("html", 256))
+    long = p.where(F.length("html") >= least)
+    first = long.select("page_id", digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(first, "repeated-payloads")
+    own = F.encode(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")), "UTF-8")
+    p = p.withColumn("digest", F.when(F.length("html") >= least, digest).otherwise(own))
+    j = p.join(F.broadcast(first) if first.count() <= most else first, "digest", "left")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.join(first, "digest", "left").select("page_id", "url", "html", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"))
+    return j.select("page_id", "url", "html", F.when(later, "revisit").otherwise("response").alias("kind"), F.when(later, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, limit: int = FILE_BYTES, compress: bool = True) -> DataFrame:
