@@ -114,6 +114,15 @@ def offset_loss(df: DataFrame, ignore: int = -1) -> DataFrame:
     return d.agg((F.sum(l1) / (F.count("*") + 1e-8)).alias("l1"), (-F.sum(cos) / (F.count("*") + 1e-8)).alias("cosine"))
 
 
+def criteria(*parts: tuple[float, DataFrame]) -> DataFrame:
+    """One row: the weighted sum of losses, each one row with ``loss``."""
+    rows = [d.select((F.col("loss") * float(w)).alias("loss")) for w, d in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.agg(F.sum("loss").alias("loss"))
+
+
 # Forward passes
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .losses import log_softmax
+
 IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(9)) + (0.25,)
 
 
@@ -81,6 +83,18 @@ def vote(scores: DataFrame, keys=("scene", "point_idx"), how: str = "sum") -> Da
     return s.groupBy(*keys).agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("pred"))
 
 
+def evaluate_fragments(logits: DataFrame, truth: DataFrame, classes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Offline evaluation of test fragments: the points' voted classes, the scenes' IoU, and one row of metrics over all.
+
+    ``logits``: scene, point_idx, fragment, class, logit; ``truth``: scene, point_idx, target.
+    Each fragment votes with its softmax; a point takes the class with the greatest sum.
+    """
+    soft = log_softmax(logits, ["scene", "point_idx", "fragment"]).withColumn("score", F.exp("logp"))
+    voted = vote(soft)
+    both = truth.select("scene", "point_idx", "target").join(voted, ["scene", "point_idx"])
+    return voted, scene_iou(both, classes), dense_metrics(both, classes)
+
+
 def top_classes(scores: DataFrame, k: int = 3, keys=("scene", "point_idx")) -> DataFrame:
     """(keys, classes): the k best classes as text."""
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "class")

@@ -191,6 +191,11 @@ def overlap_ratios(frames: DataFrame, voxel: float, factor: float = 1.5) -> Data
     return one.groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.max("s").alias("ratio"))
 
 
+def overlapping(ratios: DataFrame, least: float = 0.3) -> DataFrame:
+    """Pairs of scenes that overlap by more than ``least``."""
+    return ratios.where(F.col("ratio") > least)
+
+
 def farthest_points(df: DataFrame, m: int) -> DataFrame:
     """(scene, point_idx, step): from the first point on, always the point farthest from those chosen; ties by the lower index.
 

@@ -38,12 +38,14 @@ def knn_by_scene(spark, sf):
     return spatial.knn(p, p, 5, 0.1).select("scene", "q", "r", F.col("rank").cast("long").alias("rank"))
 
 
-@query("knn_padded", f"""WITH {EMB_S}, few AS (SELECT * FROM emb WHERE instance = 3), ranked AS (SELECT a.scene, a.point_idx AS q, b.point_idx AS r, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
-SELECT e.scene, e.point_idx AS q, CAST(k AS BIGINT) AS rank, coalesce(r, -1) AS r, {s6('coalesce(d, 100000)')} AS d FROM emb e CROSS JOIN generate_series(1, 3) s(k) LEFT JOIN ranked x ON x.scene = e.scene AND x.q = e.point_idx AND x.rank = k""")
+@query("knn_padded", f"""WITH {EMB_S}, ranked AS (SELECT a.scene, a.point_idx AS q, b.point_idx AS r, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN emb b ON a.scene = b.scene AND a.segment = b.segment)
+SELECT e.scene, e.point_idx AS q, CAST(k AS BIGINT) AS rank, coalesce(r, -1) AS r, {s6('coalesce(d, 100000)')} AS d FROM emb e CROSS JOIN generate_series(1, 24) s(k) LEFT JOIN ranked x ON x.scene = e.scene AND x.q = e.point_idx AND x.rank = k""")
 def knn_padded(spark, sf):
+    """Among points of one scene and label; those with fewer than 24 are filled up."""
     p = points_emb_s(spark, sf)
-    near = spatial.knn(p, p.where("instance = 3"), 3, 0.1)
-    return spatial.with_padding(near, p, 3).select("scene", "q", F.col("rank").cast("long").alias("rank"), "r", r6("d").alias("d"))
+    of = p.withColumns({"was": F.col("scene"), "scene": F.col("scene") * 8 + F.col("segment") + 1})
+    filled = spatial.with_padding(spatial.knn(of, of, 24, 0.1), of, 24)
+    return filled.withColumn("scene", F.floor(F.col("scene") / 8)).select("scene", "q", F.col("rank").cast("long").alias("rank"), "r", r6("d").alias("d"))
 
 
 @query("radius_pairs", f"WITH {EMB}, {_pairs(0.1)} SELECT scene, q, r, {s6('d2')} AS d2 FROM pairs")
@@ -116,11 +118,11 @@ def scatter_fusion(spark, sf):
     return spatial.fuse(spatial.knn(p, p, 4, 0.05), p, F.exp(-F.col("d2")), "v").select("scene", "q", r6("fused").alias("fused"))
 
 
-@query("label_transfer", f"""WITH {EMB_S}, few AS (SELECT * FROM emb WHERE segment = 0), ranked AS (SELECT a.scene, a.point_idx, b.instance, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
+@query("label_transfer", f"""WITH {EMB_S}, few AS (SELECT * FROM emb SEMI JOIN (SELECT scene, min(point_idx) AS point_idx FROM emb GROUP BY scene, floor(x / 0.1::DOUBLE), floor(y / 0.1::DOUBLE), floor(z / 0.1::DOUBLE)) v USING (scene, point_idx)), ranked AS (SELECT a.scene, a.point_idx, b.instance, row_number() OVER (PARTITION BY a.scene, a.point_idx ORDER BY {_D2}, b.point_idx) AS rank FROM emb a JOIN few b ON a.scene = b.scene)
 SELECT scene, point_idx, instance FROM ranked WHERE rank = 1""")
 def label_transfer(spark, sf):
     p = points_emb_s(spark, sf)
-    return spatial.transfer_labels(p, p.where("segment = 0"), "instance", 0.1)
+    return spatial.transfer_labels(p, voxel.dedupe_lowest(p, 0.1), "instance", 0.1)
 
 
 @query("overlap_ratio", f"""WITH {EMB_S}, m AS (SELECT scene, floor(x / 0.1::DOUBLE) AS vx, floor(y / 0.1::DOUBLE) AS vy, floor(z / 0.1::DOUBLE) AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM emb GROUP BY 1, 2, 3, 4),
@@ -130,7 +132,17 @@ def overlap_ratio(spark, sf):
     return spatial.overlap_ratios(points_emb_s(spark, sf), 0.1).select("a", "b", r6("ratio").alias("ratio"))
 
 
-@query("fps")
+def _fps_sql(m: int) -> str:
+    """Each step's distances and choice as a pair of tables: the first point, then always the farthest, the lower index of equals."""
+    d2 = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z)"
+    parts = ["c0 AS MATERIALIZED (SELECT scene, point_idx, x, y, z, 0 AS step FROM emb QUALIFY row_number() OVER (PARTITION BY scene ORDER BY point_idx) = 1)", f"d0 AS MATERIALIZED (SELECT p.*, {d2} AS d FROM emb p JOIN c0 c USING (scene))"]
+    for i in range(1, m):
+        parts.append(f"c{i} AS MATERIALIZED (SELECT scene, point_idx, x, y, z, {i} AS step FROM d{i - 1} QUALIFY row_number() OVER (PARTITION BY scene ORDER BY d DESC, point_idx) = 1 AND count(*) OVER (PARTITION BY scene) > {i})")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT p.* REPLACE (least(p.d, {d2}) AS d) FROM d{i - 1} p JOIN c{i} c USING (scene))")
+    return f"WITH {EMB_S}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT scene, point_idx, CAST(step AS BIGINT) AS step FROM c{i}" for i in range(m))
+
+
+@query("fps", _fps_sql(16))
 def fps(spark, sf):
     return spatial.farthest_points(points_emb_s(spark, sf), 16)
 
@@ -285,10 +297,13 @@ def best_so_far(spark, sf):
     return series.best_so_far(_metric(spark, sf)).select("name", "iteration", "best", "is_best")
 
 
-@query("metrics_wide", "SELECT user_id AS iteration, " + ", ".join(f"arg_max(value, event_id) FILTER (WHERE event_type = '{e}') AS \"{e}\"" for e in ("click", "error", "purchase", "view")) + " FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type IN ('click', 'error', 'purchase', 'view')) > 0")
+_EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("metrics_wide", "SELECT user_id AS iteration, " + ", ".join(f"arg_max(value, event_id) FILTER (WHERE event_type = '{e}') AS \"{e}\"" for e in _EVENTS) + " FROM events GROUP BY user_id")
 def metrics_wide(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin("click", "error", "purchase", "view"))
-    return e.groupBy(F.col("user_id").alias("iteration")).pivot("event_type", ["click", "error", "purchase", "view"]).agg(F.max_by("value", "event_id"))
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("user_id").alias("iteration")).pivot("event_type", _EVENTS).agg(F.max_by("value", "event_id"))
 
 
 @query("interleave", """WITH s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS j, 0 AS source FROM supplier), n AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_nationkey) - 1 AS j, (SELECT count(*) FROM nation) AS n FROM nation),
