@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import prefix_within
+
 
 def log_softmax(logits: DataFrame, keys: Sequence[str], value: str = "logit") -> DataFrame:
     """With ``logp``: the logarithm of the softmax over each key's rows, shifted by the greatest."""
@@ -71,14 +73,19 @@ def dice(logits: DataFrame, keys: Sequence[str], ignore: int = -1, smooth: float
     return per.agg(F.avg(1.0 - (2.0 * F.col("i") + smooth) / (F.col("u") + smooth)).alias("loss"))
 
 
-def lovasz_terms(errors: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, loss) of (by, id, error, fg): errors in falling order times the steps of the Jaccard index."""
-    w = Window.partitionBy(*by).orderBy(F.col("error").desc(), "id")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = errors.withColumns({"_g": F.sum("fg").over(Window.partitionBy(*by)), "_c": F.sum("fg").over(up), "_k": F.row_number().over(w)})
-    d = d.withColumn("_j", 1.0 - (F.col("_g") - F.col("_c")) / (F.col("_g") + F.col("_k") - F.col("_c")))
-    step = F.col("_j") - F.coalesce(F.lag("_j").over(w), F.lit(0.0))
-    return d.withColumn("_t", F.col("error") * step).groupBy(*by).agg(F.sum("_t").alias("loss"))
+def lovasz_terms(errors: DataFrame, by: Sequence[str], positive: bool = False) -> DataFrame:
+    """(by, loss) of (by, id, error, fg): errors in falling order times the steps of the Jaccard index; with ``positive``, only errors above 0.
+
+    A class may hold any share of the points, so ranks and running sums come from ranges of
+    the order; the index one place before follows from them.
+    """
+    keys = ["_all", *by]
+    d = prefix_within(errors.withColumn("_all", F.lit(1)), keys, F.col("error").desc(), "id", value="fg", rank="_k", running="_c", total="_g")
+    index = lambda k, c: 1.0 - (F.col("_g") - c) / (F.col("_g") + k - c)
+    before = F.when(F.col("_k") > 0, index(F.col("_k"), F.col("_c") - F.col("fg"))).otherwise(F.lit(0.0))
+    step = index(F.col("_k") + 1, F.col("_c")) - before
+    error = F.greatest("error", F.lit(0.0)) if positive else F.col("error")
+    return d.withColumn("_t", error * step).groupBy(*keys).agg(F.sum("_t").alias("loss")).drop("_all")
 
 
 def lovasz_softmax(logits: DataFrame, keys: Sequence[str], ignore: int = -1) -> DataFrame:
@@ -92,15 +99,9 @@ def lovasz_softmax(logits: DataFrame, keys: Sequence[str], ignore: int = -1) ->
 
 def lovasz_hinge(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Binary form on (id, logit, target in 0, 1): hinge errors, of which only positive ones count."""
-    keyed = df.withColumn("_all", F.lit(1))
     sign = 2.0 * F.col("target") - 1.0
-    e = keyed.select("_all", *by, "id", (1.0 - F.col("logit") * sign).alias("error"), F.col("target").cast("double").alias("fg"))
-    w = Window.partitionBy("_all", *by).orderBy(F.col("error").desc(), "id")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = e.withColumns({"_g": F.sum("fg").over(Window.partitionBy("_all", *by)), "_c": F.sum("fg").over(up), "_k": F.row_number().over(w)})
-    d = d.withColumn("_j", 1.0 - (F.col("_g") - F.col("_c")) / (F.col("_g") + F.col("_k") - F.col("_c")))
-    step = F.col("_j") - F.coalesce(F.lag("_j").over(w), F.lit(0.0))
-    return d.withColumn("_t", F.greatest("error", F.lit(0.0)) * step).groupBy("_all", *by).agg(F.sum("_t").alias("loss")).drop("_all")
+    e = df.select(*by, "id", (1.0 - F.col("logit") * sign).alias("error"), F.col("target").cast("double").alias("fg"))
+    return lovasz_terms(e, by, positive=True)
 
 
 def offset_loss(df: DataFrame, ignore: int = -1) -> DataFrame:

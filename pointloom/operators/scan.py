@@ -27,3 +27,16 @@ def prefix(df: DataFrame, *order: Column | str, rank: str = "rank", value: str |
     if value:
         out = out.withColumn(running, F.col("_s0") + F.sum(value).over(inside))
     return out.drop("_range", "_at", "_n0", "_s0")
+
+
+def prefix_within(df: DataFrame, by: list[str], *order: Column | str, value: str, rank: str = "rank", running: str = "running", total: str = "total") -> DataFrame:
+    """As :func:`prefix`, within groups; with the group's total of the value.
+
+    For few groups of any size, such as classes: they are ranked as one order by group and
+    then the given one, and one row per group tells where it starts.
+    """
+    d = prefix(df, *by, *order, rank=rank, value=value, running=running)
+    per = df.groupBy(*by).agg(F.count("*").alias("_gn"), F.sum(value).alias(total))
+    before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    start = per.select(*by, total, F.coalesce(F.sum("_gn").over(before), F.lit(0)).alias("_gn0"), F.coalesce(F.sum(total).over(before), F.lit(0)).alias("_gs0"))
+    return d.join(start, by).withColumns({rank: F.col(rank) - F.col("_gn0"), running: F.col(running) - F.col("_gs0")}).drop("_gn0", "_gs0")
