@@ -40,6 +40,8 @@ GUESS_ROWS, GUESS_TOKENS, GUESS_ROUNDS = 400, 1 << 19, 15
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose forward and backward values a task holds at once.
 SPAN = 1 << 17
+#: Tokens of texts that a task holds, to take texts of like length together.
+HELD = 16 * SPAN
 #: Steps between scalings; a step's probabilities are far above the EVERY-th root of the least double.
 EVERY = 8
 #: Times the corpus' shares that are added to each state's counts.
@@ -150,7 +152,7 @@ def _encode(it, shared):
     at, base, made = _At(v.at), TaskContext.get().partitionId() << 36, 0
     log_end = float(np.log10(v.ends + 1))
     for b in it:
-        rows = []
+        rows, ends, tail_words, tail_counts = [], [0], [], []
         for doc, text, held in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
             words = _words(text)
             k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
@@ -163,10 +165,16 @@ def _encode(it, shared):
             log_c = v.log_c[k[known]]
             in_tail = v.symbol[k[known]] > HEAD
             within = float(log_c[in_tail].sum()) - float(v.log_z[s].sum())
-            rows.append((base + made, doc, held, len(s), len(known) + (v.ends > 0), float(log_c.sum()) + log_end, within, s.tobytes(), [{"word": w, "n": n} for w, n in Counter(tails).items()]))
+            rows.append((base + made, doc, held, len(s), len(known) + (v.ends > 0), float(log_c.sum()) + log_end, within, s.tobytes()))
+            counted = Counter(tails)
+            tail_words += counted
+            tail_counts += counted.values()
+            ends.append(len(tail_words))
             made += 1
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENCODED.types)], schema=_ENCODED)
+            entries = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _ENCODED.types)), tail], schema=_ENCODED)
 
 
 # The states
@@ -272,9 +280,9 @@ def _add_counts(model: Model, obs: np.ndarray, active: np.ndarray, sums: Model,
     gamma /= z[:, None]
     if enter is None:
         sums.start += gamma[:width].sum(axis=0)
-    flat = obs.reshape(-1).astype(np.int64)
+    flat, weights = obs.reshape(-1).astype(np.int64), np.ascontiguousarray(gamma.T)
     for j in range(k):
-        sums.emit[:, j] += np.bincount(flat, weights=gamma[:, j], minlength=SYMBOLS)
+        sums.emit[:, j] += np.bincount(flat, weights=weights[j], minlength=SYMBOLS)
     return first / first.sum()
 
 
@@ -300,7 +308,7 @@ def expected_counts(model: Model, seqs: list[np.ndarray], limit: int = SPAN) ->
     posteriors are scaled to one afterwards, for all steps at once.
     """
     k = len(model.start)
-    sums = Model(np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)))
+    sums = Model(np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k), order="F"))  # added to by column
     for group in _grouped(seqs, limit):
         if len(seqs[group[0]]) > limit:
             _add_long(model, seqs[group[0]], sums, limit)
@@ -330,7 +338,7 @@ def first_guess(seqs: list[np.ndarray], shares: np.ndarray, states: int) -> Mode
 def _expect(it, shared):
     model: Model = shared.value
     k = len(model.start)
-    total = Model(np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k)))
+    total = Model(np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS, k), order="F"))
     held: list[np.ndarray] = []
 
     def add():
@@ -345,7 +353,7 @@ def _expect(it, shared):
         for symbols in b.column(0).to_pylist():
             held.append(np.frombuffer(symbols, np.uint32))
             size += len(held[-1])
-            if size > 4 * SPAN:
+            if size > HELD:
                 add()
                 size = 0
     if held:
@@ -380,9 +388,24 @@ _PASSED = ["rid", "doc_id", "held_out", "n_tokens", "known", "log_all", "log_wit
 
 
 def _score(it, shared):
+    at = len(_PASSED)
+
+    def scored(held):
+        logs = log_likelihoods(shared.value, [np.frombuffer(x, np.uint32) for b in held for x in b.column(at).to_pylist()])
+        lo = 0
+        for b in held:
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array(logs[lo : lo + b.num_rows], pa.float64())], names=[*_PASSED, "log_classes"])
+            lo += b.num_rows
+
+    held, size = [], 0
     for b in it:
-        seqs = [np.frombuffer(s, np.uint32) for s in b.column(len(_PASSED)).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(_PASSED))), pa.array(log_likelihoods(shared.value, seqs), pa.float64())], names=[*_PASSED, "log_classes"])
+        held.append(b)
+        size += b.column(at).nbytes // 4
+        if size > HELD:
+            yield from scored(held)
+            held, size = [], 0
+    if held:
+        yield from scored(held)
 
 
 def score(documents: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
