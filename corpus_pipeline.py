@@ -13,22 +13,38 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the model is fitted on this stage's own input."""
+    """Documents that the quality rules keep; the model is fitted on this stage's own input.
+
+    Null, empty and short texts go; rows without a doc_id and repeated rows are judged each by
+    itself; whole texts are read; an empty table gives an empty result.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links: the least doc_id."""
+    """One document of each group that the n-gram Jaccard join links: the least doc_id.
+
+    Of equal rows one stays; rows of one doc_id with texts that are not alike stay apart; rows
+    without a doc_id stay; whole texts count; an empty table gives an empty result.
+    """
     return jaccard.keep_one(docs, jaccard.join(docs, hashes=True))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark, with or without an id.
+
+    Null and empty texts and rows without a doc_id stay, as they hold none; repeated rows are
+    judged each by itself; whole texts are searched; without items all stay.
+    """
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each a sequence of its own, with checksums of their ids."""
+    """The pieces of all documents, each a sequence of its own, with checksums of their ids.
+
+    Null and empty texts are the end token alone; repeated rows are packed each by itself; a
+    null doc_id stays null; whole texts are packed; an empty table gives an empty result.
+    """
     return packing.digest(packing.pack(docs))
 
 
