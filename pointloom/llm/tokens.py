@@ -29,6 +29,7 @@ def default_path() -> str:
 #: Letters, then ASCII marks without the apostrophe: for these the tokenizer's own splits are known, and its
 #: model is asked directly.  All letters here are under U+0250, lower case, and composed.
 _PLAIN = re.compile(r"([a-zªµºß-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_ASCII = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
 #: Byte-level vocabularies write a byte that isn't a visible Latin-1 character as U+0100 and following, in order.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _SHOW = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512)))
@@ -49,6 +50,18 @@ def _shown(part: str) -> str:
     return part if part.isascii() else part.encode().decode("latin-1").translate(_SHOW)
 
 
+class _Numbers(dict):
+    """Words numbered in the order they are first asked for; ``new`` are those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTokens:
     """``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -71,18 +84,22 @@ class WordTokens:
         return cls._loaded[path]
 
     def _clear(self) -> None:
-        self._at: dict[bytes, int] = {}
+        self._at = _Numbers()
         self._start = np.zeros(1024, np.int64)
         self._len = np.zeros(1024, np.int64)
         self._flat = np.zeros(4096, np.uint32)
         self._used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = [self._encoded(w.decode("utf-8", "replace")) for w in words]
+    def _learn(self) -> None:
+        words, self._at.new = self._at.new, []
+        try:
+            got = [self._encoded(w) for w in words]
+        except BaseException:
+            self._clear()
+            raise
         n = np.fromiter(map(len, got), np.int64, len(got))
-        k, used = len(self._at), self._used + int(n.sum())
-        self._at.update(zip(words, range(k, k + len(words))))
-        while k + len(words) > len(self._start):
+        k, used = len(self._at) - len(words), self._used + int(n.sum())
+        while len(self._at) > len(self._start):
             self._start, self._len = np.concatenate([self._start, self._start]), np.concatenate([self._len, self._len])
         while used > len(self._flat):
             self._flat = np.concatenate([self._flat, self._flat])
@@ -91,7 +108,12 @@ class WordTokens:
         self._flat[self._used : used] = list(chain.from_iterable(got))
         self._used = used
 
-    def _encoded(self, word: str) -> list[int]:
+    def _encoded(self, word: bytes) -> list[int]:
+        if self._direct and (m := _ASCII.fullmatch(word)):
+            letters, marks = m.groups()
+            ids = [t.id for t in self._model.tokenize(letters.decode())]
+            return ids + [t.id for t in self._model.tokenize(marks.decode())] if marks else ids
+        word = word.decode("utf-8", "replace")
         if self._direct and (m := _PLAIN.fullmatch(word)) and (letters := m[1]).isalpha() and letters == letters.lower():
             return [t.id for part in m.groups() if part for t in self._model.tokenize(_shown(part))]
         return self._tokenizer.encode(word, add_special_tokens=False).ids
@@ -104,12 +126,9 @@ class WordTokens:
             words = [w if any(m in w for m in self._marks) else w.lower() for w in text.split()]
         if len(self._at) > MAX_WORDS:
             self._clear()
-        at = self._at
-        try:
-            k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in at])
-            k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        k = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+        if self._at.new:
+            self._learn()
         n = self._len[k]
         ends = np.cumsum(n)
         return self._flat[np.arange(ends[-1]) + np.repeat(self._start[k] - ends + n, n)]
