@@ -192,8 +192,8 @@ def overlap_ratios(frames: DataFrame, voxel: float, factor: float = 1.5) -> Data
 
 
 def overlapping(ratios: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs of scenes that overlap by more than ``least``."""
-    return ratios.where(F.col("ratio") > least)
+    """Pairs of scenes that overlap by ``least`` or more."""
+    return ratios.where(F.col("ratio") >= least)
 
 
 def farthest_points(df: DataFrame, m: int) -> DataFrame:

@@ -72,7 +72,7 @@ def subm_conv_wide(spark, sf):
 
 @query("overlapping_scenes", f"""WITH {EMB_S}, m AS (SELECT scene, floor(x / 0.1::DOUBLE) AS vx, floor(y / 0.1::DOUBLE) AS vy, floor(z / 0.1::DOUBLE) AS vz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM emb GROUP BY 1, 2, 3, 4),
 h AS (SELECT a.scene AS a, b.scene AS b, count(DISTINCT (a.vx, a.vy, a.vz)) AS k FROM m a JOIN m b ON a.scene <> b.scene AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.0225 GROUP BY 1, 2), n AS (SELECT scene, count(*) AS n FROM m GROUP BY 1)
-SELECT least(a, b) AS a, greatest(a, b) AS b FROM h JOIN n ON n.scene = h.a GROUP BY 1, 2 HAVING max(k / n) > 0.75""")
+SELECT least(a, b) AS a, greatest(a, b) AS b FROM h JOIN n ON n.scene = h.a GROUP BY 1, 2 HAVING max(k / n) >= 0.75""")
 def overlapping_scenes(spark, sf):
     return spatial.overlapping(spatial.overlap_ratios(points_emb_s(spark, sf), 0.1), 0.75).select("a", "b")
 

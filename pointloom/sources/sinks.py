@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,20 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("path"))
 
 
+def write_infos(infos: DataFrame, root: str, sweeps: int = 10) -> None:
+    """Sample records (nested columns as they are) by number of sweeps and ``split``; splits that ``infos`` lacks are kept."""
+    infos.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(f"{root}/sweeps={sweeps}")
+
+
+def infos(spark: SparkSession, root: str, split: str | Sequence[str], sweeps: int = 10) -> DataFrame:
+    """Sample records of a split, or of several one after another: one named twice comes twice.  Unknown splits have no rows."""
+    names = [split] if isinstance(split, str) else list(split)
+    if not names:
+        raise ValueError("no split is named")
+    df = spark.read.parquet(f"{root}/sweeps={sweeps}").withColumn("split", F.col("split").cast("string"))
+    return reduce(DataFrame.unionByName, (df.where(F.col("split") == n) for n in names))
+
+
 def named_by_path(df: DataFrame) -> DataFrame:
     """split and scene from the path of each row's file: its last two folders."""
     path = F.col("_metadata.file_path")

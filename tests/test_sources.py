@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom import sources
+from pointloom.operators import spatial
 from pointloom.plans import spec
 from pointloom.sources import binary, npy, ply, sinks, zips
 from pointloom.streaming import metrics as streams
@@ -148,3 +149,25 @@ def test_streams_equal_batches(spark, tmp_path):
     w = streams.windowed(stream, "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.table("w").exceptAll(streams.windowed(df, "10 minutes")).count() == 0
+
+
+def test_infos_round_trip(spark, tmp_path):
+    schema = "split string, lidar_token string, lidar_path string, sweeps array<struct<path: string, time_lag: double>>, gt map<string, int>"
+    rows = [("train", "a", "l/a.bin", [("l/s.bin", 0.05)], {"car": 2}), ("train", "b", "l/b.bin", [], None), ("val", "c", None, None, {})]
+    df = spark.createDataFrame(rows, schema)
+    sinks.write_infos(df, str(tmp_path))
+    back = sinks.infos(spark, str(tmp_path), ["train", "val"])
+    key = lambda d: sorted(repr(r.asDict(True)) for r in d.select(df.columns).collect())
+    assert key(back) == key(df)
+    assert [r.lidar_token for r in sinks.infos(spark, str(tmp_path), "val").collect()] == ["c"]
+    assert sinks.infos(spark, str(tmp_path), ["val", "val"]).count() == 2
+    assert sinks.infos(spark, str(tmp_path), "test").count() == 0
+    sinks.write_infos(df.where("split = 'val'").withColumn("lidar_token", F.lit("d")), str(tmp_path))
+    assert sorted(r.lidar_token for r in sinks.infos(spark, str(tmp_path), ["train", "val"]).collect()) == ["a", "b", "d"]
+    with pytest.raises(ValueError):
+        sinks.infos(spark, str(tmp_path), [])
+
+
+def test_overlapping_takes_the_bound(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.3), ("a", "c", 0.29), ("b", "c", 0.5), ("c", "d", None)], "a string, b string, ratio double")
+    assert sorted((r.a, r.b) for r in spatial.overlapping(pairs).collect()) == [("a", "b"), ("b", "c")]
