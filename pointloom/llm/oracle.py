@@ -146,6 +146,52 @@ SELECT DISTINCT doc_id, license FROM x JOIN tn USING (license) WHERE nr >= 0 AND
 """
 
 
+#: Terms are runs of a-z and of characters beyond ASCII, once A-Z are lower-cased.
+SOURCE_DIVERGENCE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gs AS MATERIALIZED (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(all_total, 0) AS all_total FROM g
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)
+    LEFT JOIN (SELECT lang, sum(n) AS all_total FROM c GROUP BY ALL) USING (lang) LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY ALL) USING (lang)),
+f AS MATERIALIZED (SELECT gs.lang, gs.source, k.term, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p FROM gs JOIN k ON k.lang = gs.lang
+    LEFT JOIN c ON c.lang = gs.lang AND c.source = gs.source AND c.term = k.term),
+q AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN q ON q.lang = a.lang AND q.source = a.source AND q.item = b.source),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(all_total) + any_value(v)) AS q FROM c JOIN gs USING (lang, source) GROUP BY ALL),
+term AS (SELECT c.lang, c.source, 'term' AS part, c.term AS item, (p - q) * (p - q) // q AS value
+    FROM c JOIN f ON f.lang = c.lang AND f.source = c.source AND f.term = c.term JOIN lp ON lp.lang = c.lang AND lp.term = c.term WHERE p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+FILTER_INTERACTIONS = f"""
+WITH x AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+y AS (SELECT doc_id, part, len(w) AS n, len(list_distinct(w)) AS u, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS caps, length(x) AS points,
+    regexp_matches(x, '[#$%&*|]') AS symbols, coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS copy FROM x),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS MATERIALIZED (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(n < 100 AS INT) + 2 * CAST(100 * u < 80 * n AS INT) + 4 * CAST(100 * caps > 10 * points AS INT)
+    + 8 * CAST(symbols AS INT) + 16 * CAST(copy AS INT) AS mask, count(*) AS n FROM y LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, bit)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS MATERIALIZED (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, (VALUES (1), (2), (3), (4), (5)) v(step)),
+r AS MATERIALIZED (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+    FROM m, s GROUP BY ALL),
+h AS (SELECT part, bit, sum(removed) AS shapley FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM r JOIN h USING (part, bit)
+"""
+
+
 ORACLE = {
     "base_rules": BASE_RULES,
     "unigram_scores": UNIGRAM_SCORES,
@@ -155,4 +201,6 @@ ORACLE = {
     "op6_warc": WARC,
     "op7_chat_formatting": CHAT_FORMATTING,
     "op9_decontamination": DECONTAMINATION,
+    "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op13_filter_interactions": FILTER_INTERACTIONS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
+from . import chat, decontam, divergence, filters, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
 from .frames import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -54,6 +54,14 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # What SQL can express of op1, op5 and op10, whose own rows hold hashes or a model's scores.
 
 
@@ -81,6 +89,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_license_scans": op10_license_scans,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_filter_interactions": op13_filter_interactions,
     "base_rules": base_rules,
     "unigram_scores": unigram_scores,
     "license_hits": license_hits,
