@@ -20,6 +20,18 @@ def open_in(uri: str):
     return system.open_input_file(path)
 
 
+def open_out(uri: str):
+    system, path = _system(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path, compression=None)
+
+
+def local_path(uri: str) -> str | None:
+    """The path of a file on a mounted folder, None in other stores."""
+    system, path = _system(uri)
+    return path if isinstance(system, fs.LocalFileSystem) else None
+
+
 def size_of(uri: str) -> int:
     system, path = _system(uri)
     return system.get_file_info(path).size

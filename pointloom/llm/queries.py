@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, divergence, filters, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
+from . import bpe, chat, decontam, divergence, filters, hmm, jaccard, licenses, packing, quality, tokenscan, urls, warc
 from .frames import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -58,6 +58,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_license_scans": op10_license_scans,
     "op11_source_divergence": op11_source_divergence,
+    "op12_bpe_encoding": op12_bpe_encoding,
     "op13_filter_interactions": op13_filter_interactions,
     "base_rules": base_rules,
     "unigram_scores": unigram_scores,
