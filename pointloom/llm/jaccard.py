@@ -25,6 +25,7 @@ nodes by their digest, so rows of one doc_id with different texts stay apart.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,6 @@ CHUNK_BYTES = 8 << 20
 SENT_ROWS = 200_000
 #: Sketches whose share of equal bytes is lower by this are not looked at again: over five standard deviations.
 SLACK = 0.18
-_RUN_BITS = 56
 
 
 def survival(depth: int) -> float:
@@ -79,21 +79,31 @@ def sketch(s: np.ndarray) -> np.ndarray:
 _PLACE = mix(np.arange(POSITIONS, dtype=np.uint64) + np.uint64(1) << np.uint64(33))
 
 
+def _below(h: np.ndarray) -> np.ndarray:
+    """The names of buckets below others.  All 64 bits are hash, from the run's root on, so runs of any number stay apart."""
+    return mix(h).view(np.int64)
+
+
+def roots(first: int, runs: int) -> np.ndarray:
+    """The buckets that the runs from ``first`` on begin with."""
+    return _below(np.arange(first + 1, runs + 1, dtype=np.uint64))
+
+
+def _chosen(h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(h < np.uint64(int(2**64 / (threshold * POSITIONS))))
+
+
 def children(nodes: np.ndarray, values: np.ndarray, threshold: float) -> np.ndarray:
-    """The buckets below ``nodes`` that a sketch goes to; a run's number stays in the upper bits."""
+    """The buckets below ``nodes`` that a sketch goes to."""
     h = mix((values.astype(np.uint64) ^ _PLACE)[None, :] + mix(nodes)[:, None])
-    at, position = np.nonzero(h < np.uint64(int(2**64 / (threshold * POSITIONS))))
-    run = nodes.astype(np.uint64)[at] >> np.uint64(_RUN_BITS) << np.uint64(_RUN_BITS)
-    return (run | (mix(h[at, position]) >> np.uint64(64 - _RUN_BITS))).astype(np.int64)
+    return _below(h[_chosen(h, threshold)])
 
 
 def children_of(node: int, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`children`, for many sketches in one bucket: (member, child)."""
-    of = np.array([node], np.int64).view(np.uint64)
-    h = mix((sketches.astype(np.uint64) ^ _PLACE[None, :]) + mix(of))
-    member, position = np.nonzero(h < np.uint64(int(2**64 / (threshold * POSITIONS))))
-    run = of >> np.uint64(_RUN_BITS) << np.uint64(_RUN_BITS)
-    return member, (run | (mix(h[member, position]) >> np.uint64(64 - _RUN_BITS))).astype(np.int64)
+    h = mix((sketches.astype(np.uint64) ^ _PLACE[None, :]) + mix(np.array([node], np.int64)))
+    member, position = _chosen(h, threshold)
+    return member, _below(h[member, position])
 
 
 _BASE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary())])
@@ -110,12 +120,12 @@ def _base(it, k: int):
 
 def _split(it, threshold: float, first: int = 0, runs: int = 0):
     """Children of (fp, size, sketch[, node]); without a node, of the roots of the runs from ``first`` on."""
-    roots = np.arange(first, runs, dtype=np.int64) << _RUN_BITS
+    top = roots(first, runs)
     for b in it:
         fps, nodes, sizes = [], [], []
         given = b.column(3).to_numpy() if b.num_columns > 3 else None
         for i, (fp, size, sk) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
-            c = np.unique(children(roots if given is None else given[i : i + 1], np.frombuffer(sk, "<u4"), threshold))
+            c = np.unique(children(top if given is None else given[i : i + 1], np.frombuffer(sk, "<u4"), threshold))
             nodes.append(c)
             fps += [fp] * len(c)
             sizes += [size] * len(c)
@@ -409,8 +419,6 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
         more, depth, deep = _leaves(left, threshold, done, need, limit, scratch)
         leaves = more if leaves is None else leaves.unionByName(more)
         done, need = need, max(need, runs_for(recall, depth))
-        if need >> 63 - _RUN_BITS:
-            raise ValueError("buckets are split too often for this recall")
         left = None if deep is None else written(reps.join(deep.distinct(), "fp", "left_semi"), "deep", scratch)
     found = written(map_batches(_dealt(_blocks(leaves, with_bytes)), lambda it: _search(it, threshold - SLACK), "node long, i long, j long, fp binary, partners array<binary>"), "candidates", scratch)
     wanted = reps.select("fp", F.col("rep").alias("doc_id"), "copies").join(found.select("fp").distinct(), "fp", "left_semi")
@@ -421,8 +429,8 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WO
     sets = map_batches(texts, lambda it: _sets(it, k), "fp binary, rep long, copies long, items binary", ("words",)).dropDuplicates(["fp"])
     full = found.join(sets, "fp").select("node", "i", "j", "fp", "rep", "copies", "items", "partners")
     links = written(map_batches(_dealt(full), lambda it: _verify(it, threshold), "fp binary, rep long, links long, top binary"), "links", scratch)
-    roots = components(links.select(F.col("fp").alias("u"), F.col("top").alias("v")).distinct())
-    linked = links.groupBy("fp").agg(F.sum("links").alias("links"), F.min("rep").alias("rep")).join(roots.withColumnRenamed("node", "fp"), "fp")
+    tops = components(links.select(F.col("fp").alias("u"), F.col("top").alias("v")).distinct())
+    linked = links.groupBy("fp").agg(F.sum("links").alias("links"), F.min("rep").alias("rep")).join(tops.withColumnRenamed("node", "fp"), "fp")
     linked = written(linked, "linked", scratch)
     # Tables of their own, so that joins are of two plain sides and can be split at a class with very many members or copies.
     named = written(linked.groupBy("root").agg(F.min("rep").alias("class_id")), "class-names", scratch)
@@ -445,7 +453,15 @@ def keep_one(documents: DataFrame, classes: DataFrame) -> DataFrame:
     classes of their own.  Of rows with equal doc_id and text one stays, but all rows without
     a doc_id.  Columns are those of ``documents``; an empty table gives an empty result.
     """
-    least = classes.where("doc_id = class_id").groupBy("class_id", "component").agg(F.min("text_hash").alias("h")).select("class_id", "h").distinct()
-    rows = documents.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    kept = rows.join(least, (rows["_key"] == least["class_id"]) & (rows["_hash"] == least["h"]), "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
-    return kept.unionByName(documents.where("doc_id is null"))
+    of_text = classes.where("doc_id = class_id").groupBy("class_id", "component", "text_hash").agg(F.count("*").alias("n"))
+    least = of_text.groupBy("class_id", "component").agg(F.min(F.struct(F.col("text_hash").alias("h"), F.col("n"))).alias("x"))
+    least = written(least.groupBy("class_id", "x.h").agg(F.max("x.n").alias("n")), "kept-texts")
+    is_kept = lambda of: (documents["doc_id"].cast("long") == of["class_id"]) & (F.xxhash64(documents["text"]) == of["h"])
+    once, often = least.where("n = 1"), least.where("n > 1")
+    kept = documents.join(once, is_kept(once), "left_semi").unionByName(documents.where("doc_id is null"))
+    if often.isEmpty():
+        return kept
+    # Only rows that are repeated meet, and are reduced within each task before.  Their key is a struct of a name that no column has.
+    key = f"key-{uuid.uuid4().hex}"
+    again = documents.join(often, is_kept(often), "left_semi").withColumn(key, F.struct(documents["doc_id"].cast("long"), F.xxhash64(documents["text"])))
+    return kept.unionByName(again.dropDuplicates([key]).drop(key))

@@ -33,7 +33,7 @@ def clashing(odd):
     """The same rows with columns of names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["kept", "score", "n_words", "class_id", "n_links", "start", "length", "ids", "fp", "node", "u", "v", "held_out", "bucket", "path", "license", "lang", "rid"]
+    names = ["kept", "score", "n_words", "class_id", "n_links", "start", "length", "ids", "fp", "node", "u", "v", "held_out", "bucket", "path", "license", "lang", "rid", "_key", "_hash", "text_hash", "component", "symbols", "words", "h", "n"]
     return odd.select(*(F.lit(f"x{i}").alias(n) for i, n in enumerate(names)), "text", "doc_id")
 
 

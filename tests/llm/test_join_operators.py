@@ -155,12 +155,51 @@ def test_buckets_that_go_on_shrinking_are_split_deeper(spark, monkeypatch):
 
 def test_children_of_one_sketch_and_of_many():
     rng = np.random.default_rng(1)
-    sk, node = rng.integers(0, 2**32, (50, jaccard.POSITIONS)).astype(np.uint32), np.array([(3 << jaccard._RUN_BITS) + 77], np.int64)
+    sk, node = rng.integers(0, 2**32, (50, jaccard.POSITIONS)).astype(np.uint32), jaccard.roots(3, 4)
     member, child = jaccard.children_of(int(node[0]), sk, 0.8)
     for i in range(50):
         assert sorted(child[member == i].tolist()) == sorted(jaccard.children(node, sk[i], 0.8).tolist())
 
 
+def test_runs_of_any_number_have_buckets_of_their_own():
+    top = jaccard.roots(0, 5000)
+    assert len(np.unique(top)) == 5000 and jaccard.roots(70, 90).tolist() == top[70:90].tolist()
+    sk = np.random.default_rng(2).integers(0, 2**32, jaccard.POSITIONS).astype(np.uint32)
+    below = [np.unique(jaccard.children(top[i : i + 1], sk, 0.8)) for i in range(5000)]
+    assert len(np.unique(np.concatenate(below))) == sum(map(len, below)) > 4000
+
+
+def test_leaves_of_any_depth_only_ask_for_more_runs(spark, words, monkeypatch):
+    """Leaves 40 splits deep ask for some 190 runs; no link is lost and nothing stops."""
+    rows, real, asked = near_rows(words)[:60], jaccard._leaves, []
+
+    def deep(reps, threshold, first, runs, *more):
+        asked.append((first, runs))
+        leaves, depth, _ = real(reps, threshold, first, runs, *more)
+        return (leaves, 40, reps.select("fp")) if len(asked) < 3 else (leaves, depth, None)
+
+    monkeypatch.setattr(jaccard, "_leaves", deep)
+    assert as_rows(jaccard.join(spark.createDataFrame(rows, DOCS))) == brute_join(rows)
+    assert asked == [(0, jaccard.runs_for(depth=2)), (jaccard.runs_for(depth=2), jaccard.runs_for(depth=40))] and asked[1][1] > 128
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_sets_are_sent_or_shuffled_alike(spark, words, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
+    rows = near_rows(words)
+    assert as_rows(jaccard.join(spark.createDataFrame(rows, DOCS))) == brute_join(rows)
+
+
+def test_one_row_of_each_class_stays(spark, words):
+    """Repeated rows, and columns of every name that the operator uses itself."""
+    a, b = " ".join(words[:60]), " ".join(words[60:120])
+    rows = [(1, a, "r")] * 5 + [(2, a + " x", "r"), (4, b, "r"), (4, b, "r"), (5, None, "r"), (5, None, "r"), (6, "", "r"), (None, a, "r"), (None, a, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").selectExpr("*", "'h' as _hash", "1 as class_id", "2 as h", "3 as n", "4 as x", "5 as component", "6 as text_hash", "7 as `a b`")
+    kept = jaccard.keep_one(df, jaccard.join(df, hashes=True))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (4, b), (5, None), (6, ""), (None, a), (None, a)], key=str)
+
+
 def test_runs_reach_the_recall():
     for recall in (0.9, 0.999):
         for depth in (1, 2, 4):
@@ -473,3 +512,51 @@ def test_pipeline_stages(spark, words, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+NAMES = ["_key", "_hash", "h", "n", "x", "kept", "score", "class_id", "component", "text_hash", "fp", "node", "item_id", "ids", "start", "bucket"]
+
+
+def pipeline_tables(spark, folder, rows, labels, items):
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("*", *(f"'{i}' as `{n}`" for i, n in enumerate(NAMES))).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_of_odd_rows(spark, words, odd_rows, tmp_path):
+    """Null, empty, repeated and very long rows and clashing names through all stages; pieces and checksums against the tokenizer."""
+    from tokenizers import Tokenizer
+
+    from pointloom.llm import packing, quality
+    from pointloom.llm.tokens import default_path
+
+    from .test_text_operators import brute_contained, corpus
+
+    rows = corpus(words, 40)
+    rows += [*odd_rows, rows[0], rows[0], (None, rows[1][1]), (None, rows[1][1]), (2000, rows[2][1] + " " + " ".join(words[:14])), (2001, rows[3][1].upper()), (2002, rows[4][1] + " tail")]
+    labels = [(d, int(d < 1000), 0) for d, _ in corpus(words, 40) if d % 2 == 0] + [(None, 1, 0), (5, None, None)]
+    items = [(1, " ".join(words[:14])), (2, None), (None, ""), (3, "")]
+    pipeline_tables(spark, tmp_path, rows, labels, items)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    verdicts = quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    kept = {(r.doc_id, r.n_words) for r in verdicts.where("kept").collect()}
+    good = [(d, t) for d, t in rows if (d, len(WORD.findall(t or ""))) in kept]
+    classes = brute_join(good)
+    least = {c for _, c, _ in classes}
+    one = {(d, t) for d, t in good if d is not None and d in least}
+    left = [r for r in [*one, *((d, t) for d, t in good if d is None)] if not brute_contained([(1, r[1])], [(1, items[0][1])])]
+    encode, want = Tokenizer.from_file(default_path()), []
+    for d, t in left:
+        ids, start = np.array([*encode.encode(t, add_special_tokens=False).ids, 2], "<u4"), 0
+        for n in packing.lengths(len(ids)):
+            want.append((d, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), 0))
+            start += n
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "sequence_id").collect()
+    assert sorted((tuple(r)[:-1] for r in got), key=str) == sorted(want, key=str)
+    assert len({r.sequence_id for r in got}) == len(got) > 30
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pipeline_tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
