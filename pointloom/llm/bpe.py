@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 from .caches import register
-from .frames import id_text, map_batches, new_path, utf8
+from .frames import drop_paths, id_text, map_batches, new_path, utf8, written
 from .tokens import _SHOW
 
 #: So many of the corpus' most frequent words are compiled, and none beyond so many characters.
 LEXICON_WORDS = 131_072
 LONGEST_WORD = 48
+#: Counts of words are told apart by so many steps from one power of two to the next.
+COUNT_STEPS = 32
 #: Code points that are cut and looked up at a time; the arrays of a piece take some 40 bytes for each.
 PIECE = 1 << 19
 #: A task sends its counts of words on when it holds so many.
@@ -324,12 +326,23 @@ def _counted(it, path: str, classes: np.ndarray):
 
 
 def frequent_words(documents: DataFrame, most: int = LEXICON_WORDS, tokenizer: str | None = None, classes: np.ndarray | None = None) -> list[str]:
-    """The ``most`` words, of up to ``LONGEST_WORD`` characters, that occur most often in all documents; of equally frequent ones the least."""
+    """The words, of up to ``LONGEST_WORD`` characters, that occur most often in all documents, ``most`` at most.
+
+    They are all words from a step of counts on, the lowest one with which they are no more than
+    ``most``; so the driver gets these and a histogram of the steps, however many tasks count.
+    """
     path = tokenizer or default_path()
     classes = Merges.of(path).classes() if classes is None else classes
+    spark, scratch = documents.sparkSession, []
     words = map_batches(id_text(documents), lambda it: _counted(it, path, classes), "word string, n long", ("merges",))
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.collect()]  # ``most`` short words at most
+    words = written(words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts", scratch)
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    found = words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # 64 * COUNT_STEPS rows at most
+    total = np.cumsum([r.words for r in found])
+    lowest = [r.step for r, t in zip(found, total.tolist()) if t <= most]
+    out = sorted(r.word for r in words.where(step >= lowest[-1]).select("word").collect()) if lowest else []  # ``most`` short words at most
+    drop_paths(spark, scratch)
+    return out
 
 
 def compiled(spark: SparkSession, words: list[str], tokenizer: str | None = None, classes: np.ndarray | None = None) -> str:
