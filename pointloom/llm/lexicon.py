@@ -118,7 +118,7 @@ def _placed(wanted: list[np.ndarray], n_labels: int) -> tuple[np.ndarray, int]:
             begin, degree = n_labels, len(labels)
         at, step = begin, 512
         while True:
-            if at + step + n_labels >= len(free):
+            while at + step + n_labels >= len(free):
                 free = np.concatenate([free, np.ones(len(free), bool)])
             fits = free[at : at + step].copy()
             for x in labels[1:] - labels[0]:
