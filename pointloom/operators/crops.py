@@ -32,18 +32,19 @@ def center_of(df: DataFrame, how: str = "middle", salt: str = "center") -> DataF
     return c.select("scene", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz"), "n")
 
 
-def nearest(df: DataFrame, centers: DataFrame, k: Column) -> DataFrame:
-    """The ``k`` points of each scene nearest to its centre, with d2 and rank; ties by point_idx."""
-    d = df.join(centers, "scene").withColumn("d2", dist2("x", "y", "z", "cx", "cy", "cz"))
-    w = Window.partitionBy("scene").orderBy("d2", "point_idx")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest(df: DataFrame, centers: DataFrame, k: Column, most: int | None = None) -> DataFrame:
+    """The ``k`` points of each scene nearest to its centre, with d2; ties by point_idx.  No scene is sorted as a whole."""
+    from .scan import least
 
+    d = df.join(centers, "scene").withColumns({"d2": dist2("x", "y", "z", "cx", "cy", "cz"), "_k": k})
+    return least(d, ["scene"], "d2", "point_idx", "_k", most=most).drop("_k")
 
-def sphere_crop(df: DataFrame, point_max: int = 80_000, sample_rate: float | None = None, mode: str = "middle") -> DataFrame:
+
+def sphere_crop(df: DataFrame, point_max: int = 80_000, sample_rate: float | None = None, mode: str = "middle", most: int | None = None) -> DataFrame:
     """In scenes with more than the limit, the nearest points to the centre, as many as the limit says."""
     c = center_of(df, "middle" if mode in ("middle", "center") else "random")
     limit = F.lit(point_max) if sample_rate is None else F.least(F.lit(point_max), F.floor(F.col("n") * sample_rate))
-    return nearest(df, c, limit).drop("cx", "cy", "cz", "n", "d2", "rank")
+    return nearest(df, c, limit, most).drop("cx", "cy", "cz", "n", "d2")
 
 
 def cylinder_crop(df: DataFrame, point_max: int = 80_000, radius: float = 1.0, axes: str = "xyz", mode: str = "middle") -> DataFrame:
@@ -130,11 +131,11 @@ def multi_block(df: DataFrame, n_blocks: int = 4, block_scale=(0.05, 0.15), majo
         best = points.groupBy("scene").agg(F.min_by(F.struct("x", "y", "z"), F.struct(draw(s), "point_idx")).alias("c"))
         return best.select("scene", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz")).join(sizes, "scene")
 
-    major = view(df, center(df, f"{salt}/major"), major_scale, max_size, f"{salt}/size").drop("cx", "cy", "cz", "n", "d2", "rank")
+    major = view(df, center(df, f"{salt}/major"), major_scale, max_size, f"{salt}/size").drop("cx", "cy", "cz", "n", "d2")
     free, targets = major, None
     for i in range(n_blocks):
         s = f"{salt}/{i}"
-        block = view(major if overlap else free, center(free, s), block_scale, max_size, s + "/size").drop("cx", "cy", "cz", "n", "d2", "rank").withColumn("block", F.lit(i))
+        block = view(major if overlap else free, center(free, s), block_scale, max_size, s + "/size").drop("cx", "cy", "cz", "n", "d2").withColumn("block", F.lit(i))
         targets = block if targets is None else targets.unionByName(block)
         free = free.join(block.select(*KEY), KEY, "left_anti")
     context = major.join(targets.select(*KEY).distinct(), KEY, "left_anti")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import morton, unmorton
+from .scan import rank_within
 
+MAX_BITS = 16
 ORDERS = ("z", "z-trans", "hilbert", "hilbert-trans")
 
 
@@ -107,10 +109,14 @@ def unhilbert(code: Column, bits: int = 16) -> Column:
 
 
 def encode(df: DataFrame, order: str = "z", bits: int = 16) -> DataFrame:
-    """With ``code``: the place of the cell on the curve, x and y exchanged in the ``-trans`` orders."""
+    """With ``code``: the place of the cell on the curve, x and y exchanged in the ``-trans`` orders.  A cell below 0 or beyond ``bits`` is an error."""
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
     x, y, z = F.col("gx"), F.col("gy"), F.col("gz")
+    if not 0 < bits <= MAX_BITS:
+        raise ValueError(f"bits must be from 1 to {MAX_BITS}")
+    wide = F.shiftright(x.bitwiseOR(y).bitwiseOR(z), bits) != 0  # negative cells too
+    x = F.when(wide, F.raise_error(F.lit(f"a cell needs more than {bits} bits")).cast("long")).otherwise(x)
     if order.endswith("-trans"):
         x, y = y, x
     return df.withColumn("code", morton(x, y, z) if order.startswith("z") else hilbert(x, y, z, bits))
@@ -124,13 +130,18 @@ def decode(df: DataFrame, order: str = "z", bits: int = 16) -> DataFrame:
     return df.withColumns({"gx": x, "gy": y, "gz": z})
 
 
-def serialize(df: DataFrame, orders=("z",), bits: int = 16) -> DataFrame:
-    """For each curve ``code_i``, and ``rank_i``, the place in the scene's order."""
+def drawn_orders(orders, salt: str) -> list[str]:
+    """The orders permuted by draws that the salt alone decides."""
+    from hashlib import md5
+
+    return sorted(orders, key=lambda o: md5(f"{salt}:{o}".encode()).hexdigest())
+
+
+def serialize(df: DataFrame, orders=("z",), bits: int = 16, shuffle: str | None = None, most: int | None = None) -> DataFrame:
+    """For each curve ``code_i``, and ``rank_i``, the place in the scene's order; ``shuffle``, a salt, permutes the curves first."""
     out = df
-    for i, order in enumerate(orders):
-        out = encode(out, order, bits)
-        w = Window.partitionBy("scene").orderBy("code", "point_idx")
-        out = out.withColumn(f"rank_{i}", (F.row_number().over(w) - 1).cast("long")).withColumnRenamed("code", f"code_{i}")
+    for i, order in enumerate(drawn_orders(orders, shuffle) if shuffle is not None else orders):
+        out = rank_within(encode(out, order, bits), ["scene"], "code", "point_idx", rank=f"rank_{i}", most=most).withColumnRenamed("code", f"code_{i}")
     return out
 
 
@@ -140,8 +151,8 @@ def patches(ranked: DataFrame, size: int, rank: str = "rank_0") -> DataFrame:
     The last patch of a scene with more than ``size`` points is filled up with the points one
     patch before its missing places; a smaller scene is one patch as it is.
     """
-    w = Window.partitionBy("scene")
-    r = ranked.select("scene", "point_idx", F.col(rank).alias("k"), F.count("*").over(w).alias("n"))
+    sizes = ranked.groupBy("scene").agg(F.count("*").alias("n"))
+    r = ranked.select("scene", "point_idx", F.col(rank).alias("k")).join(sizes, "scene")
     own = r.select("scene", "point_idx", F.floor(F.col("k") / size).cast("long").alias("patch"), (F.col("k") % size).alias("slot"), F.lit(False).alias("borrowed"))
     # Missing places n..ceil(n/size)*size-1 take the points at those places less one patch.
     borrow = r.where((F.col("n") > size) & (F.col("n") % size != 0) & (F.col("k") + size >= F.col("n")) & (F.col("k") + size < F.ceil(F.col("n") / size) * size))

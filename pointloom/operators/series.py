@@ -28,8 +28,8 @@ def sweep_chain(frames: DataFrame, sweeps: int = 10, value: str = "event_id") ->
 
 
 def frame_order(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Frames by the whole number that their file's stem is: ``frame_no`` within each folder; files with other stems are left out."""
-    f = paths.withColumns({"folder": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "stem": F.regexp_extract(path, r"(?:^|/)(\d{1,18})(?:\.[^/]*)?$", 1).try_cast("long")}).where("stem is not null")
+    """Frames by the whole number that their file's stem is: ``frame_no`` within each folder; files with other stems, or beyond 64 bits, are left out."""
+    f = paths.withColumns({"folder": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "stem": F.regexp_extract(path, r"(?:^|/)(\d+)(?:\.[^/]*)?$", 1).try_cast("long")}).where("stem is not null")
     w = Window.partitionBy("folder").orderBy("stem", path)
     return f.withColumn("frame_no", (F.row_number().over(w) - 1).cast("long"))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cell, dist2, draw
+from ..functions.shared import shared_dir
+
 
 def _around(c: str) -> Column:
     return F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
@@ -72,14 +73,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, start: float = 0.25, levels
 
 def _saved(df: DataFrame) -> DataFrame:
     """Lineage ends in the folder that executors share; one is set only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="shared-")  # one machine, as in tests
-        sc.setCheckpointDir(at)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -196,11 +190,27 @@ def overlapping(ratios: DataFrame, least: float = 0.3) -> DataFrame:
     return ratios.where(F.col("ratio") >= least)
 
 
-def farthest_points(df: DataFrame, m: int) -> DataFrame:
+#: Scenes of up to so many points, some 8 MB, are one group; larger ones go by cells.
+SCENE_IN_A_TASK = 200_000
+#: Picks of a scene that one round of the search by cells makes at most.
+PICKS_A_ROUND = 1024
+_PICKS = "scene long, point_idx long, step long, x double, y double, z double"
+
+
+def farthest_points(df: DataFrame, m: int, most: int | None = None) -> DataFrame:
     """(scene, point_idx, step): from the first point on, always the point farthest from those chosen; ties by the lower index.
 
-    Each step needs the one before, so a scene is one group of Arrow batches; scenes run in parallel.
+    Where all points are chosen or equal to one that is, the first is chosen again.  Scenes
+    of up to ``most`` points are a group of Arrow batches each; larger ones are searched by cells.
     """
+    p = df.select("scene", "point_idx", "x", "y", "z")
+    large = _saved(p.groupBy("scene").agg(F.count("*").alias("_n")).where(F.col("_n") > (SCENE_IN_A_TASK if most is None else most)).select("scene"))
+    if large.isEmpty():
+        return _farthest_in_a_task(p, m)
+    return _farthest_in_a_task(p.join(large, "scene", "left_anti"), m).unionByName(_farthest_by_cells(p.join(large, "scene", "left_semi"), m))
+
+
+def _farthest_in_a_task(df: DataFrame, m: int) -> DataFrame:
     import pandas as pd
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,4 +225,83 @@ def farthest_points(df: DataFrame, m: int) -> DataFrame:
             at = int(d.argmax())
         return pd.DataFrame({"scene": p["scene"].iloc[chosen].to_numpy(), "point_idx": p["point_idx"].iloc[chosen].to_numpy(), "step": range(len(chosen))})
 
-    return df.select("scene", "point_idx", "x", "y", "z").groupBy("scene").applyInPandas(of, "scene long, point_idx long, step long")
+    return df.groupBy("scene").applyInPandas(of, "scene long, point_idx long, step long")
+
+
+def _picked(cells, room: int):
+    """The next picks that a scene's cells decide: places in ``cells``, or -1 for the scene's first point.
+
+    Each cell tells its farthest point with its distance to the picks before, its box, its
+    number of points and its lowest index.  After a pick a cell's other points are no farther than before, and no
+    farther than the pick is from the box's far corner.  While its own point keeps its distance
+    it stands for the others too.  A pick is sure where it is farther than all that can remain
+    unseen, or as far and of a lower index; the first always is.
+    """
+    import numpy as np
+
+    at, lo, hi, index = (cells[list(c)].to_numpy() for c in (("x", "y", "z"), ("lx", "ly", "lz"), ("hx", "hy", "hz"), ("point_idx",)))
+    d, index, low = cells["d"].to_numpy().copy(), index[:, 0], cells["low"].to_numpy()
+    rest, touched = np.where(cells["n"].to_numpy() > 1, d, -1.0), np.zeros(len(d), bool)
+    out: list[int] = []
+    while len(out) < room:
+        far = d.max()
+        if far <= 0 and rest[touched].max(initial=-1.0) <= 0:
+            out += [-1] * (room - len(out))
+            break
+        best = np.flatnonzero(d == far)
+        best = int(best[index[best].argmin()])
+        if (touched & ((rest > far) | ((rest == far) & (low < index[best])))).any():
+            break
+        out.append(best)
+        now = ((at - at[best]) ** 2).sum(axis=1)
+        touched |= now < d
+        d = np.minimum(d, now)
+        corner = np.maximum(np.abs(lo - at[best]), np.abs(hi - at[best]))
+        rest = np.minimum(rest, (corner**2).sum(axis=1))
+    return out
+
+
+def _farthest_by_cells(df: DataFrame, m: int) -> DataFrame:
+    """As :func:`farthest_points`, by rounds over all scenes at once.
+
+    A round brings each point's distance up to date with the last picks, takes each cell's farthest
+    point by a partial aggregate, and makes as many picks of a scene as its cells can decide
+    (:func:`_picked`).  What meets in a task is one row for each cell, at most ``steps`` cubed
+    whatever the scene's size.
+    """
+    import pandas as pd
+
+    steps = min(64, max(8, 2 * math.ceil(math.sqrt(m))))
+    box = df.groupBy("scene").agg(F.count("*").alias("_n"), *(F.min(c).alias(f"_l{c}") for c in "xyz"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("_span"), F.min_by(F.struct("point_idx", "x", "y", "z"), "point_idx").alias("first"))
+    box = _saved(box)
+    place = {f"c{c}": F.when(F.col("_span") > 0, F.least(F.lit(steps - 1), F.floor((F.col(c) - F.col(f"_l{c}")) / F.col("_span") * steps))).otherwise(0) for c in "xyz"}
+    p = df.join(box, "scene").withColumns(place).select("scene", "point_idx", "x", "y", "z", "cx", "cy", "cz", F.lit(float("inf")).alias("d"))
+    new = box.select("scene", F.col("first.point_idx").alias("point_idx"), F.lit(0).cast("long").alias("step"), F.col("first.x").alias("x"), F.col("first.y").alias("y"), F.col("first.z").alias("z"))
+    new, rounds = _saved(new), []
+    first = {f"f{c}": F.col(f"first.{c}") for c in ("point_idx", "x", "y", "z")}
+
+    def decided(pdf: pd.DataFrame) -> pd.DataFrame:
+        done, limit = int(pdf["done"].iloc[0]), int(pdf["limit"].iloc[0])
+        got = _picked(pdf, min(limit - done, PICKS_A_ROUND))
+        rows = [tuple(pdf.iloc[i][c] for c in ("point_idx", "x", "y", "z")) if i >= 0 else tuple(pdf.iloc[0][f"f{c}"] for c in ("point_idx", "x", "y", "z")) for i in got]
+        out = pd.DataFrame(rows, columns=["point_idx", "x", "y", "z"])
+        return out.assign(scene=pdf["scene"].iloc[0], step=range(done, done + len(out)))[["scene", "point_idx", "step", "x", "y", "z"]]
+
+    while True:
+        rounds.append(new)
+        picks = new.groupBy("scene").agg(F.collect_list(F.struct("x", "y", "z")).alias("picks"), (F.max("step") + 1).alias("done"))
+        left = picks.join(box.select("scene", F.least(F.lit(m), F.col("_n")).alias("limit"), *(c.alias(n) for n, c in first.items())), "scene").where("done < limit")
+        left = _saved(left)
+        if left.isEmpty():
+            break
+        to = lambda q: (F.col("x") - q["x"]) * (F.col("x") - q["x"]) + (F.col("y") - q["y"]) * (F.col("y") - q["y"]) + (F.col("z") - q["z"]) * (F.col("z") - q["z"])
+        near = F.array_min(F.transform("picks", to))
+        p = _saved(p.join(left.select("scene", "picks"), "scene").withColumn("d", F.least("d", near)).drop("picks"))
+        top = F.max(F.struct("d", (-F.col("point_idx")).alias("i"), "x", "y", "z"))
+        cells = p.groupBy("scene", "cx", "cy", "cz").agg(top.alias("top"), F.count("*").alias("n"), F.min("point_idx").alias("low"), *(F.min(c).alias(f"l{c}") for c in "xyz"), *(F.max(c).alias(f"h{c}") for c in "xyz"))
+        cells = cells.select("scene", "top.d", (-F.col("top.i")).alias("point_idx"), "top.x", "top.y", "top.z", "n", "low", *(f"{s}{c}" for s in "lh" for c in "xyz")).join(left.drop("picks"), "scene")
+        new = _saved(cells.groupBy("scene").applyInPandas(decided, _PICKS))
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out.select("scene", "point_idx", "step")

@@ -263,12 +263,13 @@ def random_shift(df: DataFrame, shift=((-0.2, 0.2), (-0.2, 0.2), (0.0, 0.0)), sa
     return df.withColumns({c: F.col(c) + uniform(f"{salt}/{c}", *shift[i], "scene") for i, c in enumerate(XYZ)})
 
 
-def random_dropout(df: DataFrame, ratio: float = 0.2, apply: float = 0.5, labeled: str | None = None, salt: str = "dropout") -> DataFrame:
+def random_dropout(df: DataFrame, ratio: float = 0.2, apply: float = 0.5, labeled: str | None = None, salt: str = "dropout", most: int | None = None) -> DataFrame:
     """Of scenes that are drawn, the ``int(n (1 - ratio))`` points with the least draws, and labelled points in any case."""
-    w = Window.partitionBy("scene").orderBy("_u", "point_idx")
-    d = with_scene(df.withColumn("_u", draw(salt)), _n=F.count("*")).withColumn("_rank", F.row_number().over(w))
-    keep = (draw(salt + "/scene", "scene") >= apply) | (F.col("_rank") <= F.floor(F.col("_n") * (1 - ratio)))
-    return d.where(keep if labeled is None else keep | F.col(labeled)).drop("_u", "_n", "_rank")
+    from .scan import among_least
+
+    k = F.when(draw(salt + "/scene", "scene") >= apply, F.col("_n")).otherwise(F.floor(F.col("_n") * (1 - ratio)))
+    d = among_least(with_scene(df.withColumn("_u", draw(salt)), _n=F.count("*")).withColumn("_k", k), ["scene"], "_u", "point_idx", "_k", "_kept", most=most)
+    return d.where(F.col("_kept") if labeled is None else F.col("_kept") | F.col(labeled)).drop("_u", "_n", "_k", "_kept")
 
 
 def rotate(df: DataFrame, angle: Column | float, axis: str = "z", center: Sequence[Column] | None = None) -> DataFrame:
@@ -400,10 +401,12 @@ def color_drop(df: DataFrame, p: float = 0.2, keep: float = 0.0, salt: str = "dr
     return df.withColumns({c: F.when(on, F.col(c) * keep).otherwise(F.col(c)) for c in RGB})
 
 
-def shuffle(df: DataFrame, salt: str = "shuffle") -> DataFrame:
+def shuffle(df: DataFrame, salt: str = "shuffle", most: int | None = None) -> DataFrame:
     """Points numbered anew in the order of their draws; the old number stays in ``old_idx``."""
-    w = Window.partitionBy("scene").orderBy(draw(salt), "point_idx")
-    return df.withColumn("old_idx", F.col("point_idx")).withColumn("point_idx", (F.row_number().over(w) - 1).cast("long"))
+    from .scan import rank_within
+
+    d = rank_within(df.withColumns({"old_idx": F.col("point_idx"), "_u": draw(salt)}), ["scene"], "_u", "point_idx", rank="_new", most=most)
+    return d.withColumn("point_idx", F.col("_new")).drop("_u", "_new")
 
 
 def elastic_distortion(df: DataFrame, granularity: float = 0.2, magnitude: float = 0.4, salt: str = "elastic") -> DataFrame:

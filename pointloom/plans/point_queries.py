@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import from_gray, r6, to_gray
-from ..operators import crops, curve, transforms as t, voxel
+from ..operators import crops, curve, scan, transforms as t, voxel
 from . import query
 from .views import EMB, EMB_S, LI, draw_sql, normal_sql, points_emb, points_emb_s, points_li, r6 as s6, uniform_sql
 
@@ -443,7 +443,7 @@ mr AS (SELECT p.scene, point_idx, x, y, z, n, row_number() OVER (PARTITION BY p.
 SELECT scene, point_idx, rk AS rank FROM mr WHERE rk <= floor({uniform_sql('views/major/size', 0.4, 1.0, 'scene')} * least(65536, n))""")
 def major_view(spark, sf):
     v = crops.multi_view(points_emb_s(spark, sf), n_global=1, n_local=0)
-    return v.select("scene", "point_idx", F.col("rank").cast("long").alias("rank"))
+    return scan.rank_within(v, ["scene"], "d2", "point_idx").select("scene", "point_idx", (F.col("rank") + 1).alias("rank"))
 
 
 _BLOCK = f"""WITH {EMB_S}, {_major().format('blocks')}, v AS (SELECT scene, point_idx, x, y, z, n FROM mr WHERE rk <= floor({uniform_sql('blocks/size', 0.6, 1.0, 'scene')} * least(65536, n))),

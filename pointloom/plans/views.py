@@ -39,6 +39,18 @@ LI = """li AS (SELECT l_suppkey AS scene, row_number() OVER (PARTITION BY l_supp
     l_tax AS strength, CAST(l_linenumber - 2 AS BIGINT) AS segment, l_partkey % 50 AS instance, l_partkey AS part, l_extendedprice AS price FROM lineitem)"""
 
 
+def points_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight scenes that grow with the data; points are told apart by order and line."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_suppkey") % 8).alias("scene"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_idx"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"),
+        (F.col("l_linenumber") - 2).cast("long").alias("segment"),
+    )
+
+
+BIG = """big AS (SELECT l_suppkey % 8 AS scene, l_orderkey * 8 + l_linenumber AS point_idx, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, CAST(l_linenumber - 2 AS BIGINT) AS segment FROM lineitem)"""
+
+
 def _embedded(spark: SparkSession, sf_dir: str, scene, segment) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     at = lambda i: F.element_at("embedding", i).cast("double")

@@ -1,7 +1,7 @@
 """Readers and writers of point-cloud files.
 
 Formats are Python data sources (``npy_scene``, ``ply``, ``fixed_binary``, ``sens``,
-``zip_members``); call :func:`register` once per session.
+``zip_members``, ``tfrecord``); call :func:`register` once per session.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from .binary import FixedBinarySource
 from .npy import NpySceneSource
 from .ply import PlySource
 from .sens import SensSource
+from .tfrecord import TfRecordSource
 from .zips import ZipSource
 
-SOURCES = [NpySceneSource, PlySource, FixedBinarySource, SensSource, ZipSource]
+SOURCES = [NpySceneSource, PlySource, FixedBinarySource, SensSource, ZipSource, TfRecordSource]
 
 
 def register(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from pointloom import plans
-from pointloom.plans import evaluation_queries, join_queries, metric_queries, point_queries, stream_queries  # noqa: F401
+from pointloom.plans import evaluation_queries, join_queries, lidar_queries, metric_queries, point_queries, scene_queries, stream_queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
