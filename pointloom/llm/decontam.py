@@ -10,27 +10,35 @@ class so that all bins miss with probability under ``MISS``.  Where that takes a
 as the document has shingles, as for items of one or few, all its shingles are looked up.  An item is a candidate
 where any bin's least value is one of its own; true word shingles then decide.
 
-The items are searched in blocks of at most ``BLOCK_SHINGLES`` shingles, each block's
-index sent to the executors: a bounded size for any benchmark.  Documents stay where they
-are: no shuffle, and no key can be hot.
+The items are in blocks of at most ``BLOCK_SHINGLES`` shingles, whose indexes executors build and save
+in the shared folder.  A worker holds one at a time: it reads some documents, takes them through
+all blocks, and goes on.  So documents are read once, stay where they are and are not
+shuffled: no key can be hot.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .frames import id_text, map_batches, utf8, written
+from .caches import register
+from .files import open_in, open_out
+from .frames import id_text, map_batches, new_path, utf8, written
 from .text import SHINGLE_WORDS, mix, shingle_hashes, word_hashes
 
 CONTAINMENT = 0.8
 MISS = 1e-6
 BLOCK_SHINGLES = 500_000
+#: Where there are several blocks, so many bytes of texts go through all of them in turn.
+TURN_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 
@@ -121,81 +129,119 @@ def search(index: Index, text: bytes | None) -> list[tuple[int, int, int]]:
     return [(i, n, own) for i, (_, n, own) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES, named: bool = True):
-    """Indexes over the items, each of ``most`` shingles at most (or one item); the items stream through the driver in order of their ids.
+def _saved_blocks(it, folder: str, threshold: float, k: int, most: int, named: bool):
+    """Indexes of rows (item, text) that are sorted by item, each of ``most`` shingles at most (or one item), as files."""
+    part, size, made = [], 0, []
 
-    All texts of an item are in one block.  ``named=False``: over all texts, those without
-    an id too, each as item 0.
+    def save():
+        made.append((f"{folder}/{uuid.uuid4().hex}", len(part)))
+        with open_out(made[-1][0]) as f:
+            f.write(pickle.dumps(build(part, threshold, k)))
+
+    for b in it:
+        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n = len(text.split())
+            if not n:
+                continue
+            if part and size + n > most and not (named and part[-1][0] == item):
+                save()
+                part, size = [], 0
+            part.append((item, text))
+            size += n
+    if part:
+        save()
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["uri", "n"])
+
+
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES, named: bool = True) -> list[str]:
+    """The addresses of indexes over the items in the shared folder, each of ``most`` shingles at most (or one item).
+
+    Executors build and save them; all texts of an item are in one block.  ``named=False``:
+    over all texts, those without an id too, each as item 0.
     """
-    part, size = [], 0
     rows = benchmark.where(f"{text_col} is not null").where(f"{id_col} is not null" if named else "true")
     rows = rows.selectExpr(f"cast({id_col} as long)" if named else "0L", f"cast({text_col} as binary)").toDF("item", "text").distinct()
-    for item, text in rows.orderBy("item", "text").toLocalIterator():
-        text = bytes(text)
-        n = len(text.split())
-        if not n:
-            continue
-        if part and size + n > most and not (named and part[-1][0] == item):
-            yield build(part, threshold, k)
-            part, size = [], 0
-        part.append((item, text))
-        size += n
-    if part:
-        yield build(part, threshold, k)
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, min(10_000, math.ceil(size / (6 * most))))
+    dealt = rows.repartition(n, "item" if named else "text").sortWithinPartitions("item", "text")
+    folder = new_path(benchmark.sparkSession, "benchmark-index")
+    files = map_batches(dealt, lambda it: _saved_blocks(it, folder, threshold, k, most, named), "uri string, n long", ("words",))
+    return sorted(r.uri for r in written(files, "benchmark-blocks").collect())  # a row for each block
 
 
-def _matches(it, shared):
-    index = shared.value
+_HELD: dict[str, Index] = {}
+register("benchmark", _HELD.clear)
+
+
+def load(uri: str) -> Index:
+    """A saved block; a worker holds one at a time."""
+    if uri not in _HELD:
+        _HELD.clear()
+        with open_in(uri) as f:
+            _HELD[uri] = pickle.loads(f.read())
+    return _HELD[uri]
+
+
+def _grouped(it, uris: list[str], at: int):
+    """Batches with their texts, together as many as one turn through all blocks is worth."""
+    held, size = [], 0
     for b in it:
-        rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))) for m in search(index, t)]
+        held.append((b, utf8(b.column(at))))
+        size += b.column(at).nbytes
+        if len(uris) < 2 or size >= TURN_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _matches(it, uris: list[str]):
+    for group in _grouped(it, uris, 1):
+        rows = []
+        for uri in uris:
+            index = load(uri)
+            rows += [(d, *m) for b, texts in group for d, t in zip(b.column(0).to_pylist(), texts) for m in search(index, t)]
         cols = [list(c) for c in zip(*rows)] or [[], [], [], []]
         cols.append([s / n for s, n in zip(cols[2], cols[3])])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document row and test item of which at least ``threshold`` of the k-word shingles are in the document.
 
     Words are lower-cased (A-Z).  An item under k words is one shingle of its own length.
     Null or empty texts and items match nothing; items with a null id are left out; of
     several texts of one item id the best contained counts; repeated rows are judged each by
     itself; whole texts are searched, however long; other columns are not read; empty tables
-    give an empty result.  Of several blocks all but the last are searched at once, so that one
-    block's index is held at a time.
+    give an empty result.  The documents are read once, however many blocks the items take.
     """
-    spark, docs = documents.sparkSession, id_text(documents)
-    out, part, shared = None, None, None
-    for index in blocks(benchmark, threshold=threshold, k=k):
-        if part is not None:
-            done = written(part, "matches")
-            shared.destroy()
-            out = done if out is None else out.unionByName(done)
-        shared = spark.sparkContext.broadcast(index)
-        part = map_batches(docs, lambda it, s=shared: _matches(it, s), SCHEMA, ("words",))
-    if part is None:
-        return spark.createDataFrame([], SCHEMA)
-    return part if out is None else out.unionByName(part)
-
-
-def _clean(it, shared, at: int):
-    index = shared.value
-    for b in it:
-        yield b.filter(pa.array([not search(index, t) for t in utf8(b.column(at))], pa.bool_()))
+    uris = blocks(benchmark, threshold=threshold, k=k, most=most)
+    if not uris:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
+    return map_batches(id_text(documents), lambda it: _matches(it, uris), SCHEMA, ("words", "benchmark"))
+
+
+def _clean(it, uris: list[str], at: int):
+    for group in _grouped(it, uris, at):
+        keep = [[True] * len(texts) for _, texts in group]
+        for uri in uris:
+            index = load(uri)
+            for clean, (_, texts) in zip(keep, group):
+                for i, t in enumerate(texts):
+                    clean[i] = clean[i] and not search(index, t)
+        for clean, (b, _) in zip(keep, group):
+            yield b.filter(pa.array(clean, pa.bool_()))
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT, k: int = SHINGLE_WORDS, most: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``documents`` that contain no test item, with or without an id, with all their columns.
 
     Null and empty texts contain nothing and stay, as do rows without a doc_id; repeated rows
     are judged each by itself; whole texts are searched; without items all rows stay; an empty
-    table gives an empty result.  One block's index is held at a time, as in :func:`contaminated`.
+    table gives an empty result.  The documents are read once, as in :func:`contaminated`.
     """
-    sc, at = documents.sparkSession.sparkContext, documents.columns.index("text")
-    shared = None
-    for index in blocks(benchmark, threshold=threshold, k=k, named=False):
-        if shared is not None:
-            documents = written(documents, "clean-so-far")
-            shared.destroy()
-        shared = sc.broadcast(index)
-        documents = map_batches(documents, lambda it, s=shared: _clean(it, s, at), documents.schema, ("words",))
-    return documents
+    at = documents.columns.index("text")
+    uris = blocks(benchmark, threshold=threshold, k=k, most=most, named=False)
+    if not uris:
+        return documents
+    return map_batches(documents, lambda it: _clean(it, uris, at), documents.schema, ("words", "benchmark"))

@@ -160,7 +160,7 @@ def brute_contained(docs, items, share=0.8, k=5):
     return out
 
 
-def test_decontamination(spark, words, odd, odd_rows):
+def test_decontamination(spark, words, odd, odd_rows, monkeypatch):
     import random
 
     rng = random.Random(2)
@@ -178,9 +178,16 @@ def test_decontamination(spark, words, odd, odd_rows):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
     assert got == brute_contained(docs, items)
     small = set()
-    for index in decontam.blocks(b, most=100):
-        small |= {(doc, i) for doc, t in docs for i, _, _ in decontam.search(index, (t or "").encode())}
-    assert small == got
+    uris = decontam.blocks(b, most=100)
+    for uri in uris:
+        small |= {(doc, i) for doc, t in docs for i, _, _ in decontam.search(decontam.load(uri), (t or "").encode())}
+    assert small == got and len(uris) > 5
+    # The documents go through several blocks in turns, of a row each and of all.
+    whole = as_rows(decontam.contaminated(d, b))
+    for turn in (1, 1 << 30):
+        monkeypatch.setattr(decontam, "TURN_BYTES", turn)
+        assert as_rows(decontam.contaminated(d, b, most=100)) == whole
+        assert as_rows(decontam.keep_clean(d, b, most=100)) == as_rows(decontam.keep_clean(d, b))
     clean = decontam.keep_clean(d, b)
     assert as_rows(clean.select("doc_id")) == sorted(((x,) for x, t in docs if not brute_contained([(x, t)], items)), key=str)
 
