@@ -54,20 +54,38 @@ def _ruled(key: str, source: str) -> str:
         FROM (SELECT DISTINCT {key} FROM {source}) q JOIN {_RULES} ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY {key})"""
 
 
-URL_FILTERS = f"""
-WITH RECURSIVE p AS MATERIALIZED {_parts("page_id, url, html", "url", "pages")},
-node AS MATERIALIZED (SELECT page_id, host, path, {_NODE} AS node, {_PLAIN} AS plain, html FROM p),
-links AS MATERIALIZED (
-    SELECT node AS u, plain AS v FROM node
-    UNION SELECT u, {_NODE} FROM {_parts("u", "target", f"(SELECT node AS u, {_LINK} AS target FROM node UNION SELECT node, {_REFRESH} FROM node)")}),
-e AS MATERIALIZED (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
+#: Classes of the edges ``links`` and what their rules decide for the pages ``node``.
+_DECIDED = f"""e AS MATERIALIZED (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
 reach AS (SELECT u, u AS c FROM e UNION SELECT e.v, reach.c FROM reach JOIN e ON e.u = reach.u),
 member AS MATERIALIZED (SELECT u AS node, min(c) AS alias FROM reach GROUP BY u),
 mparts AS MATERIALIZED {_parts("node, alias", "('x://' || node)", "member")},
 decided AS (SELECT alias, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS class_verdict
     FROM mparts JOIN {_ruled("host, path", "mparts")} x USING (host, path) GROUP BY alias)
 SELECT page_id, host, path, rule, coalesce(own, class_verdict, 'allow') AS verdict, coalesce(alias, node) AS alias, class_verdict
-FROM node LEFT JOIN {_ruled("host, path", "node")} x USING (host, path) LEFT JOIN member USING (node) LEFT JOIN decided USING (alias)
+FROM node LEFT JOIN {_ruled("host, path", "node")} x USING (host, path) LEFT JOIN member USING (node) LEFT JOIN decided USING (alias)"""
+
+URL_FILTERS = f"""
+WITH RECURSIVE p AS MATERIALIZED {_parts("page_id, url, html", "url", "pages")},
+node AS MATERIALIZED (SELECT page_id, host, path, {_NODE} AS node, {_PLAIN} AS plain, html FROM p),
+links AS MATERIALIZED (
+    SELECT node AS u, plain AS v FROM node
+    UNION SELECT u, {_NODE} FROM {_parts("u", "target", f"(SELECT node AS u, {_LINK} AS target FROM node UNION SELECT node, {_REFRESH} FROM node)")}),
+{_DECIDED}
+"""
+
+#: The edges of pages that :func:`.queries.linked_pages` writes, told by their addresses' parts and not read from tags.
+URL_ALIASES = f"""
+WITH RECURSIVE one AS (SELECT page_id, min(url) AS url FROM pages GROUP BY page_id),
+p AS MATERIALIZED {_parts("page_id, url", "url", "pages")},
+node AS MATERIALIZED (SELECT page_id, host, path, {_NODE} AS node FROM p),
+q AS (SELECT p.page_id, host, path, {_NODE} AS u, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END AS folder, p.page_id % 8 AS k, one.url AS next_url FROM p LEFT JOIN one ON one.page_id = p.page_id + 1),
+chain AS {_parts("page_id", "next_url", "(SELECT page_id, next_url FROM q WHERE k = 0)")},
+links AS MATERIALIZED (
+    SELECT u, v FROM (SELECT u, CASE k WHEN 1 THEN host || '/hub/index.html' WHEN 2 THEN 'www.example.com/en/start' WHEN 3 THEN host || path || '?print=1&all=2' WHEN 4 THEN host || folder || 'sub/page.html'
+        WHEN 5 THEN host || regexp_replace(folder, '[^/]+/$', '') || 'es/list.html' WHEN 6 THEN 'news.example.net/es/' || regexp_extract(host, '([^.]*)$', 1) END AS v FROM q WHERE k BETWEEN 1 AND 6)
+    WHERE u IS NOT NULL
+    UNION SELECT u, {_NODE.replace("host", "chain.host").replace("path", "chain.path").replace("query", "chain.query")} FROM q JOIN chain USING (page_id) WHERE u IS NOT NULL AND chain.host <> ''),
+{_DECIDED}
 """
 
 WARC = """
@@ -198,6 +216,7 @@ ORACLE = {
     "license_hits": _license_hits(),
     "op2_jaccard_join": JACCARD_JOIN,
     "op4_url_filters": URL_FILTERS,
+    "url_aliases": URL_ALIASES,
     "op6_warc": WARC,
     "op7_chat_formatting": CHAT_FORMATTING,
     "op9_decontamination": DECONTAMINATION,

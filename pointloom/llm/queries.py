@@ -66,6 +66,39 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# Aliases that decide: the given pages name no other page, so their addresses are given tags of every kind.
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, html: pages with a redirect or canonical tag, by eight kinds of page.
+
+    A redirect to the next page's address, a page for each host, a hub by a target without a
+    scheme, a query alone, a place below and one beside the page's folder, a hub for each
+    top-level domain by an attribute without quotes, and no tag.
+    """
+    after = pages.groupBy((F.col("page_id") - 1).alias("page_id")).agg(F.min("url").alias("next_url"))
+    host = F.regexp_extract(F.substring_index("url", "://", -1), r"^([^/?#]*)", 1)
+    domain = F.lower(F.regexp_extract(host, r"([^.]*)$", 1))
+    tags = [
+        F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), F.replace("next_url", F.lit("&"), F.lit("&amp;")), F.lit('">')),
+        F.lit('<link rel="canonical" href="/hub/index.html">'),
+        F.lit('<LINK href="//www.example.com/en/start" rel="canonical">'),
+        F.lit("<link rel='canonical' href='?print=1&#38;all=2'>"),
+        F.lit("<meta content='1;url=sub/page.html' http-equiv='refresh'>"),
+        F.lit('<link rel="alternate canonical" href="../es/list.html#part">'),
+        F.concat(F.lit("<p>to</p><link rel=canonical href=http://news.example.net/es/"), domain, F.lit(">")),
+        F.lit("<p>no tag</p>"),
+    ]
+    kind = F.pmod(F.col("page_id"), F.lit(len(tags)))
+    html = F.coalesce(*(F.when(kind == i, F.concat(F.lit("<html><head>"), t, F.lit("</head></html>"))) for i, t in enumerate(tags)), F.lit(""))
+    return pages.select("page_id", "url").join(after, "page_id", "left").select("page_id", "url", html.alias("html"))
+
+
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = linked_pages(table(spark, sf_dir, "pages"))
+    return urls.judge(pages, urls.link_edges(pages))
+
+
 # What SQL can express of op1, op5 and op10, whose own rows hold hashes or a model's scores.
 
 
@@ -96,6 +129,7 @@ QUERIES = {
     "op11_source_divergence": op11_source_divergence,
     "op12_bpe_encoding": op12_bpe_encoding,
     "op13_filter_interactions": op13_filter_interactions,
+    "url_aliases": url_aliases,
     "base_rules": base_rules,
     "unigram_scores": unigram_scores,
     "license_hits": license_hits,

@@ -71,3 +71,17 @@ def test_decisions_reach_aliases_through_chains_and_hubs(spark):
     got = urls.link_edges(pages)
     assert {tuple(r) for r in got.collect()} == want
     assert as_rows(urls.judge(pages, got).select("page_id", "host", "path", "rule", "verdict")) == brute_urls([r[:2] for r in rows], sorted(want))
+
+
+def test_aliases_decide_for_pages_without_a_rule(spark):
+    """The registered query: pages of hosts without a rule are blocked and allowed through their aliases."""
+    from pointloom.llm import queries
+
+    rows = [(i, f"https://h{i % 5}.example.{'org' if i % 3 else 'net'}/{'es' if i % 4 else 'en'}/{i}?a=1&b={i}#x") for i in range(64)] + [(None, "http://x.org/"), (70, None), (71, "no address"), (72, "http://only.org")]
+    pages = queries.linked_pages(spark.createDataFrame(rows, "page_id long, url string"))
+    got = urls.judge(pages, urls.link_edges(pages)).collect()
+    assert len(got) == len(rows)
+    unruled = {(r.verdict, r.class_verdict) for r in got if r.rule is None}
+    assert {("block", "block"), ("allow", "allow"), ("allow", None)} <= unruled
+    for r in got:
+        assert r.verdict == ("block" if (r.rule or "").startswith("net/") else "allow" if r.rule else r.class_verdict or "allow")
