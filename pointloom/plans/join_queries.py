@@ -211,11 +211,11 @@ def segment_paint(spark, sf):
     return relational.paint_segments(v, members).select("scene", F.col("vertex").alias("point_idx"), "group_no", "label")
 
 
-@query("mesh_normals", f"""WITH {LI}, f AS (SELECT scene, point_idx AS a, lead(point_idx, 1) OVER w AS b, lead(point_idx, 2) OVER w AS c FROM li WINDOW w AS (PARTITION BY scene ORDER BY point_idx) QUALIFY lead(point_idx, 2) OVER w IS NOT NULL),
-k AS (SELECT f.scene, f.a, f.b, f.c, (pb.y - pa.y) * (pc.z - pa.z) - (pb.z - pa.z) * (pc.y - pa.y) AS nx, (pb.z - pa.z) * (pc.x - pa.x) - (pb.x - pa.x) * (pc.z - pa.z) AS ny, (pb.x - pa.x) * (pc.y - pa.y) - (pb.y - pa.y) * (pc.x - pa.x) AS nz
-    FROM f JOIN li pa ON pa.scene = f.scene AND pa.point_idx = f.a JOIN li pb ON pb.scene = f.scene AND pb.point_idx = f.b JOIN li pc ON pc.scene = f.scene AND pc.point_idx = f.c),
-s AS (SELECT scene, v AS point_idx, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT scene, a AS v, nx, ny, nz FROM k UNION ALL SELECT scene, b, nx, ny, nz FROM k UNION ALL SELECT scene, c, nx, ny, nz FROM k) GROUP BY 1, 2)
-SELECT scene, point_idx, {', '.join(f'{s6(f"coalesce({n} / (sqrt(nx * nx + ny * ny + nz * nz) + 1e-8), 0)")} AS {n}' for n in ('nx', 'ny', 'nz'))} FROM li LEFT JOIN s USING (scene, point_idx)""")
+@query("mesh_normals", f"""WITH {LI}, p AS MATERIALIZED (SELECT scene, point_idx, x, y, z, lead(x, 1) OVER w AS bx, lead(y, 1) OVER w AS by_, lead(z, 1) OVER w AS bz, lead(x, 2) OVER w AS cx, lead(y, 2) OVER w AS cy, lead(z, 2) OVER w AS cz
+    FROM li WINDOW w AS (PARTITION BY scene ORDER BY point_idx)),
+k AS MATERIALIZED (SELECT scene, point_idx, (by_ - y) * (cz - z) - (bz - z) * (cy - y) AS nx, (bz - z) * (cx - x) - (bx - x) * (cz - z) AS ny, (bx - x) * (cy - y) - (by_ - y) * (cx - x) AS nz FROM p),
+s AS (SELECT scene, point_idx, {', '.join(f'coalesce({n}, 0) + coalesce(lag({n}, 1) OVER w, 0) + coalesce(lag({n}, 2) OVER w, 0) AS {n}' for n in ('nx', 'ny', 'nz'))} FROM k WINDOW w AS (PARTITION BY scene ORDER BY point_idx))
+SELECT scene, point_idx, {', '.join(f'{s6(f"coalesce({n} / (sqrt(nx * nx + ny * ny + nz * nz) + 1e-8), 0)")} AS {n}' for n in ('nx', 'ny', 'nz'))} FROM s""")
 def mesh_normals(spark, sf):
     v = points_li(spark, sf).select("scene", F.col("point_idx").alias("vertex"), *XYZ)
     w = Window.partitionBy("scene").orderBy("vertex")

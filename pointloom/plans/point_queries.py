@@ -412,7 +412,11 @@ def sphere_crop(spark, sf):
     return crops.sphere_crop(points_li(spark, sf), 200).select("scene", "point_idx")
 
 
-@query("cylinder_crop", f"WITH {LI}, {_CENTER} SELECT li.scene AS scene, point_idx FROM li JOIN c ON c.scene = li.scene WHERE n <= 100 OR {_D2} < 225")
+_MIDDLE = ", ".join(f"max(CASE WHEN point_idx = n // 2 THEN {c} END) OVER (PARTITION BY scene) AS c{c}" for c in XYZ)
+
+
+@query("cylinder_crop", f"""WITH {LI}, n AS MATERIALIZED (SELECT scene, point_idx, x, y, z, count(*) OVER (PARTITION BY scene) AS n FROM li), c AS MATERIALIZED (SELECT *, {_MIDDLE} FROM n)
+SELECT scene, point_idx FROM c WHERE n <= 100 OR {_D2} < 225""")
 def cylinder_crop(spark, sf):
     return crops.cylinder_crop(points_li(spark, sf), 100, 15.0).select("scene", "point_idx")
 
@@ -511,7 +515,18 @@ def patches(spark, sf):
     return curve.patches(curve.serialize(voxel.cells(points_li(spark, sf), 0.5)), 64)
 
 
-@query("hilbert")
+_XY = "CASE WHEN a{i} & q <> 0 THEN xor({x}, q - 1) ELSE xor({x}, xor({x}, a{i}) & (q - 1)) END"
+_TURN = f"""SELECT scene, point_idx, q // 2 AS q, {_XY.format(i=2, x='b0')} AS a0, b1 AS a1, CASE WHEN a2 & q <> 0 THEN a2 ELSE xor(a2, xor(b0, a2) & (q - 1)) END AS a2
+    FROM (SELECT *, CASE WHEN a1 & q <> 0 THEN a1 ELSE xor(a1, xor(z0, a1) & (q - 1)) END AS b1, {_XY.format(i=1, x='z0')} AS b0
+        FROM (SELECT *, CASE WHEN a0 & q <> 0 THEN xor(a0, q - 1) ELSE a0 END AS z0 FROM t WHERE q > 1))"""
+_HILBERT = f"""WITH RECURSIVE {LI}, {_cells(0.5, 'li')},
+t AS (SELECT scene, point_idx, CAST(32768 AS BIGINT) AS q, gx AS a0, gy AS a1, gz AS a2 FROM c UNION ALL {_TURN}),
+g AS (SELECT scene, point_idx, a0, xor(a1, a0) AS a1, xor(a2, xor(a1, a0)) AS a2 FROM t WHERE q = 1),
+f AS (SELECT *, list_reduce(list_transform(range(0, 16), lambda b: CASE WHEN a2 >> b & 1 = 1 THEN (1::BIGINT << b) - 1 ELSE 0::BIGINT END), lambda u, v: xor(u, v)) AS w FROM g)
+SELECT scene, point_idx, CAST(list_sum(list_transform(range(0, 16), lambda b: ((xor(a0, w) >> b & 1) << (3 * b + 2)) + ((xor(a1, w) >> b & 1) << (3 * b + 1)) + ((xor(a2, w) >> b & 1) << (3 * b)))) AS BIGINT) AS code FROM f"""
+
+
+@query("hilbert", _HILBERT)
 def hilbert(spark, sf):
     return curve.encode(voxel.cells(points_li(spark, sf), 0.5), "hilbert").select("scene", "point_idx", "code")
 
