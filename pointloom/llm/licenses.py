@@ -79,13 +79,14 @@ class _Class:
 class Index:
     names: list[str]
     sets: list[np.ndarray]
+    orders: list[dict[int, list[int]]]
     classes: list[_Class]
     share: float
 
 
 def build(templates: dict[str, str], share: float = CONTAINMENT, k: int = SHINGLE_WORDS) -> Index:
     """The bands of all templates; a template under k words is one shingle of its own length."""
-    names, sets, parts = [], [], defaultdict(list)
+    names, sets, orders, parts = [], [], [], defaultdict(list)
     for name, text in sorted(templates.items()):
         wh = word_hashes(text.encode().split(), strip=True)
         wh = wh[wh != 0]
@@ -93,7 +94,11 @@ def build(templates: dict[str, str], share: float = CONTAINMENT, k: int = SHINGL
             own = min(k, len(wh))
             parts[(own, window_words(len(wh), k))].append(len(names))
             names.append(name)
-            sets.append(np.unique(shingle_hashes(wh, own)))
+            of, at = shingle_hashes(wh, own), defaultdict(list)
+            for p, h in enumerate(of.tolist()):
+                at[h].append(p)
+            sets.append(np.unique(of))
+            orders.append(dict(at))
     classes = []
     for (own, words), members in sorted(parts.items()):
         mult = seeds(max(bands_for(len(sets[i]), words, share) for i in members), salt=words)
@@ -104,7 +109,7 @@ def build(templates: dict[str, str], share: float = CONTAINMENT, k: int = SHINGL
                 of[int(_mixed(sets[i], m).min())].append(i)
             keys.append(dict(of))
         classes.append(_Class(words, own, np.unique(np.concatenate([sets[i] for i in members])), mult, keys))
-    return Index(names, sets, classes, share)
+    return Index(names, sets, orders, classes, share)
 
 
 def _mixed(h: np.ndarray, m: np.uint64) -> np.ndarray:
@@ -114,8 +119,22 @@ def _mixed(h: np.ndarray, m: np.uint64) -> np.ndarray:
     return v
 
 
+def _runs(hashes: list[int], order: dict[int, list[int]]) -> list[list[int]]:
+    """A window's hits of a template, parted where it begins again: where a hit has no place behind that of the hit before."""
+    out: list[list[int]] = [[]]
+    last = -1
+    for i, h in enumerate(hashes):
+        p = next((p for p in order[h] if p > last), None)
+        if p is None:
+            out.append([])
+            p = order[h][0]
+        out[-1].append(i)
+        last = p
+    return out
+
+
 def scan_text(index: Index, text: bytes | None) -> list[tuple[str, int, int, int, int]]:
-    """(license, first word, words, shared, template's shingles) of every occurrence: of windows that overlap, the best."""
+    """(license, first word, words, shared, template's shingles) of every occurrence: of those that overlap, the best."""
     words = (text or b"").split()
     if not words:
         return []
@@ -140,10 +159,14 @@ def scan_text(index: Index, text: bytes | None) -> list[tuple[str, int, int, int
         for at, i in seen:
             window = h[at * c.words : (at + 2) * c.words]
             inside = np.isin(window, index.sets[i])
-            shared = len(np.unique(window[inside]))
-            if shared >= index.share * len(index.sets[i]) - 1e-9:
-                where = np.flatnonzero(inside) + at * c.words
-                found[i].append((-shared, int(place[where[0]]), int(place[where[-1] + c.k - 1]) + 1))
+            where, hits = (np.flatnonzero(inside) + at * c.words).tolist(), window[inside].tolist()
+            least = index.share * len(index.sets[i]) - 1e-9
+            if len(set(hits)) < least:
+                continue
+            # Occurrences side by side are told apart; where none has enough by itself, as when parts were moved, the window is one.
+            runs = [r for r in _runs(hits, index.orders[i]) if len({hits[j] for j in r}) >= least] or [list(range(len(hits)))]
+            for r in runs:
+                found[i].append((-len({hits[j] for j in r}), int(place[where[r[0]]]), int(place[where[r[-1]] + c.k - 1]) + 1))
     out = []
     for i, windows in found.items():
         taken: list[tuple[int, int]] = []
@@ -166,8 +189,9 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, share: f
     """One row per document row and occurrence of a license template in it, with its place in the text's words.
 
     Words are compared without case (A-Z) and without marks at their ends; words of marks
-    alone, as those that lead the lines of a comment, are passed over.  Of windows of one
-    template that overlap the best counts, of equally good ones the first.  Whole texts are
+    alone, as those that lead the lines of a comment, are passed over.  An occurrence ends where
+    the template begins again, so notices in a row are told apart; of places of one template
+    that overlap the best counts, of equally good ones the first.  Whole texts are
     read, however long.  Null and empty texts have no license; repeated rows are
     scanned each by itself; templates without a word are left out; other columns are not
     read; an empty table gives an empty result.  ``templates`` is a parameter of the call and

@@ -298,3 +298,21 @@ def test_token_counts(spark, odd, clashing, odd_rows):
     many = tokenscan.write_tokens(odd, new_path(spark, "small"), limit=64)
     assert many.select("path").distinct().count() > 1
     assert tokenscan.scan(spark, many, block_bytes=32).join(many, ["path", "ordinal"]).count() == len(odd_rows)
+
+
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_notices_in_a_row_are_told_apart(times):
+    """Every notice, repeated with nothing and with a word between, is so many occurrences at their own places."""
+    index = licenses.build(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        n = len(text.split())
+        for between in ("", " and", " one two three four five six"):
+            gap = len(between.split())
+            got = [(first, size) for license, first, size, shared, of in licenses.scan_text(index, (between + " ").join([text] * times).encode()) if license == name and shared == of]
+            assert got == [(i * (n + gap), n) for i in range(times)], (name, between)
+
+
+def test_a_notice_with_moved_parts_is_one():
+    index = licenses.build({"x": " ".join(f"w{i}" for i in range(40))})
+    moved = [f"w{i}" for i in (*range(20, 40), *range(20))]
+    assert [(r[0], r[1], r[2]) for r in licenses.scan_text(index, " ".join(moved).encode())] == [("x", 0, 40)]
