@@ -130,8 +130,8 @@ def search(index: Index, text: bytes | None) -> list[tuple[int, int, int]]:
 
 
 def _saved_blocks(it, folder: str, threshold: float, k: int, most: int, named: bool):
-    """Indexes of rows (item, text) that are sorted by item, each of ``most`` shingles at most (or one item), as files."""
-    part, size, made = [], 0, []
+    """Indexes of rows (block, item, text) that are sorted so, one for each block, or more where it has over ``most`` shingles, as files."""
+    part, size, made, now = [], 0, [], None
 
     def save():
         made.append((f"{folder}/{uuid.uuid4().hex}", len(part)))
@@ -139,13 +139,14 @@ def _saved_blocks(it, folder: str, threshold: float, k: int, most: int, named: b
             f.write(pickle.dumps(build(part, threshold, k)))
 
     for b in it:
-        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for block, item, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             n = len(text.split())
             if not n:
                 continue
-            if part and size + n > most and not (named and part[-1][0] == item):
+            if part and (block != now or size + n > most and not (named and part[-1][0] == item)):
                 save()
                 part, size = [], 0
+            now = block
             part.append((item, text))
             size += n
     if part:
@@ -163,7 +164,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     rows = rows.selectExpr(f"cast({id_col} as long)" if named else "0L", f"cast({text_col} as binary)").toDF("item", "text").distinct()
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, min(10_000, math.ceil(size / (6 * most))))
-    dealt = rows.repartition(n, "item" if named else "text").sortWithinPartitions("item", "text")
+    # As many blocks as their size asks for, however many partitions there are.
+    rows = rows.select(F.pmod(F.xxhash64("item" if named else "text"), F.lit(n)).alias("block"), "item", "text")
+    dealt = rows.repartition(n, "block").sortWithinPartitions("block", "item", "text")
     folder = new_path(benchmark.sparkSession, "benchmark-index")
     files = map_batches(dealt, lambda it: _saved_blocks(it, folder, threshold, k, most, named), "uri string, n long", ("words",))
     return sorted(r.uri for r in written(files, "benchmark-blocks").collect())  # a row for each block
