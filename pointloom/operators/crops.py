@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import KEY, dist2, draw
+from ..functions.expr import KEY, clamp, dist2, draw, normal, uniform
+from .scan import all_small, least, rank_within
 from .transforms import XYZ, with_scene
 
 
@@ -32,12 +34,10 @@ def center_of(df: DataFrame, how: str = "middle", salt: str = "center") -> DataF
     return c.select("scene", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz"), "n")
 
 
-def nearest(df: DataFrame, centers: DataFrame, k: Column, most: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, centers: DataFrame, k: Column, most: int | None = None, small: bool = False) -> DataFrame:
     """The ``k`` points of each scene nearest to its centre, with d2; ties by point_idx.  No scene is sorted as a whole."""
-    from .scan import least
-
     d = df.join(centers, "scene").withColumns({"d2": dist2("x", "y", "z", "cx", "cy", "cz"), "_k": k})
-    return least(d, ["scene"], "d2", "point_idx", "_k", most=most).drop("_k")
+    return least(d, ["scene"], "d2", "point_idx", "_k", most=most, small=small).drop("_k")
 
 
 def sphere_crop(df: DataFrame, point_max: int = 80_000, sample_rate: float | None = None, mode: str = "middle", most: int | None = None) -> DataFrame:
@@ -78,10 +78,10 @@ def two_views(df: DataFrame, salts: Sequence[str] = ("view1", "view2"), transfor
     return parts[0].unionByName(parts[1])
 
 
-def view(df: DataFrame, centers: DataFrame, scale=(0.1, 0.4), max_size: int = 65_536, salt: str = "view") -> DataFrame:
+def view(df: DataFrame, centers: DataFrame, scale=(0.1, 0.4), max_size: int = 65_536, salt: str = "view", small: bool = False) -> DataFrame:
     """The ``floor(u * min(max_size, n))`` nearest points to a centre, u drawn for the scene from ``scale``."""
     u = F.lit(float(scale[0])) + F.lit(float(scale[1] - scale[0])) * draw(salt, "scene")
-    return nearest(df, centers, F.floor(u * F.least(F.lit(max_size), F.col("n"))))
+    return nearest(df, centers, F.floor(u * F.least(F.lit(max_size), F.col("n"))), small=small)
 
 
 def multi_view(df: DataFrame, n_global: int = 2, n_local: int = 4, global_scale=(0.4, 1.0), local_scale=(0.1, 0.4), max_size: int = 65_536, band=(0.0, 1.0), salt: str = "views") -> DataFrame:
@@ -94,14 +94,15 @@ def multi_view(df: DataFrame, n_global: int = 2, n_local: int = 4, global_scale=
     """
     h = with_scene(df, _lo=F.min("z"), _hi=F.max("z"))
     in_band = h.where((F.col("z") >= F.col("_lo") + band[0] * (F.col("_hi") - F.col("_lo"))) & (F.col("z") <= F.col("_lo") + band[1] * (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
-    sizes = df.groupBy("scene").agg(F.count("*").alias("n"))
+    sizes, small = df.groupBy("scene").agg(F.count("*").alias("n")), all_small(df, ["scene"])
 
     def center(points: DataFrame, s: str) -> DataFrame:
         best = points.groupBy("scene").agg(F.min_by(F.struct("x", "y", "z"), F.struct(draw(s), "point_idx")).alias("c"))
         return best.select("scene", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz")).join(sizes, "scene")
 
     def take(c: DataFrame, scale, s: str, kind: str, i: int) -> DataFrame:
-        return view(df, c, scale, max_size, s).drop("cx", "cy", "cz", "n").withColumns({"kind": F.lit(kind), "view": F.lit(i)})
+        v = rank_within(view(df, c, scale, max_size, s, small).drop("cx", "cy", "cz", "n"), ["scene"], "d2", "point_idx", small=small)
+        return v.withColumns({"rank": F.col("rank") + 1, "kind": F.lit(kind), "view": F.lit(i)})
 
     major = take(center(in_band, f"{salt}/major"), global_scale, f"{salt}/major/size", "global", 0)
     out = major
@@ -125,17 +126,17 @@ def multi_block(df: DataFrame, n_blocks: int = 4, block_scale=(0.05, 0.15), majo
     takes no point of an earlier one.  With ``early_fuse`` the context is repeated for every
     block, and ``is_target`` tells the two apart.
     """
-    sizes = df.groupBy("scene").agg(F.count("*").alias("n"))
+    sizes, small = df.groupBy("scene").agg(F.count("*").alias("n")), all_small(df, ["scene"])
 
     def center(points: DataFrame, s: str) -> DataFrame:
         best = points.groupBy("scene").agg(F.min_by(F.struct("x", "y", "z"), F.struct(draw(s), "point_idx")).alias("c"))
         return best.select("scene", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.z").alias("cz")).join(sizes, "scene")
 
-    major = view(df, center(df, f"{salt}/major"), major_scale, max_size, f"{salt}/size").drop("cx", "cy", "cz", "n", "d2")
+    major = view(df, center(df, f"{salt}/major"), major_scale, max_size, f"{salt}/size", small).drop("cx", "cy", "cz", "n", "d2")
     free, targets = major, None
     for i in range(n_blocks):
         s = f"{salt}/{i}"
-        block = view(major if overlap else free, center(free, s), block_scale, max_size, s + "/size").drop("cx", "cy", "cz", "n", "d2").withColumn("block", F.lit(i))
+        block = view(major if overlap else free, center(free, s), block_scale, max_size, s + "/size", small).drop("cx", "cy", "cz", "n", "d2").withColumn("block", F.lit(i))
         targets = block if targets is None else targets.unionByName(block)
         free = free.join(block.select(*KEY), KEY, "left_anti")
     context = major.join(targets.select(*KEY).distinct(), KEY, "left_anti")
@@ -145,3 +146,40 @@ def multi_block(df: DataFrame, n_blocks: int = 4, block_scale=(0.05, 0.15), majo
     else:
         context = context.withColumn("block", F.lit(None).cast("int"))
     return targets.unionByName(context.withColumn("is_target", F.lit(0)))
+
+
+#: What a copy of a target is given: ranges of a turn about z (in pi), a scale, the chance to be mirrored in x, and the noise of its points.
+AUGMENT = {"turn": (-1.0, 1.0), "scale": (0.9, 1.1), "flip": 0.5, "sigma": 0.005, "clip": 0.02}
+
+
+def drawn_augments(blocks: DataFrame, copies: Sequence[str] = ("student", "teacher"), ranges: dict | None = None, salt: str = "augment") -> DataFrame:
+    """(scene, block, copy, turn, scale, flip): a row of draws for each target and copy, so that no two targets of a scene are changed alike."""
+    r = AUGMENT | (ranges or {})
+    g = blocks.select("scene", "block").where("block is not null").distinct().withColumn("copy", F.explode(F.array(*map(F.lit, copies))))
+    keys = ("scene", "block", "copy")
+    return g.select(*keys, (uniform(f"{salt}/turn", *r["turn"], *keys) * math.pi).alias("turn"), uniform(f"{salt}/scale", *r["scale"], *keys).alias("scale"), (draw(f"{salt}/flip", *keys) < r["flip"]).alias("flip"))
+
+
+def augmented_blocks(blocks: DataFrame, augments: DataFrame, ranges: dict | None = None, salt: str = "augment") -> DataFrame:
+    """The rows of ``multi_block(early_fuse=True)`` with ``student`` and ``teacher``, arrays of the coordinates that each copy's draws make of x, y, z.
+
+    A copy is mirrored, turned about its own centre (the middle of the block's target and context),
+    scaled about it, and its points get clipped normal noise.  The draws come from the
+    table ``augments``, one row for each block and copy; a copy that it lacks is null.
+    """
+    r = AUGMENT | (ranges or {})
+    keys = ["scene", "block"]
+    middle = blocks.groupBy(*keys).agg(*((F.min(c) + F.max(c)).alias(f"_m{c}") for c in "xyz"))
+    drawn = augments.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("copy", F.struct("turn", "scale", "flip")))).alias("_draws"))  # a row for each copy
+    d = blocks.join(middle, keys).join(drawn, keys, "left")
+
+    def copy(name: str) -> Column:
+        a = F.try_element_at("_draws", F.lit(name))
+        x, y, z = (F.col(c) - F.col(f"_m{c}") / 2 for c in "xyz")
+        x = F.when(a["flip"], -x).otherwise(x)
+        cos, sin = F.cos(a["turn"]), F.sin(a["turn"])
+        noise = [clamp(normal(f"{salt}/{name}/{c}", "scene", "block", "point_idx") * r["sigma"], -r["clip"], r["clip"]) for c in "xyz"]
+        turned = (cos * x - sin * y, sin * x + cos * y, z)
+        return F.when(a.isNotNull(), F.array(*(p * a["scale"] + F.col(f"_m{c}") / 2 + e for p, c, e in zip(turned, "xyz", noise)))).alias(name)
+
+    return d.withColumns({n: copy(n) for n in ("student", "teacher")}).drop("_mx", "_my", "_mz", "_draws")

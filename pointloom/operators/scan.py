@@ -44,14 +44,23 @@ def prefix_within(df: DataFrame, by: list[str], *order: Column | str, value: str
     return d.join(start, by).withColumns({rank: F.col(rank) - F.col("_gn0"), running: F.col(running) - F.col("_gs0")}).drop("_gn0", "_gs0")
 
 
-def rank_within(df: DataFrame, by: list[str], *order: Column | str, rank: str = "rank", most: int | None = None) -> DataFrame:
+def all_small(df: DataFrame, by: list[str], most: int | None = None) -> bool:
+    """Whether no group has more than ``most`` rows, so that each may be ordered in a task."""
+    most = IN_A_TASK if most is None else most
+    return df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).isEmpty()
+
+
+def rank_within(df: DataFrame, by: list[str], *order: Column | str, rank: str = "rank", most: int | None = None, small: bool = False) -> DataFrame:
     """With ``rank``, from 0 in the given order within each group, for any number of groups of any size.
 
     Groups of up to ``most`` rows (:data:`IN_A_TASK`) are windows.  Larger ones are ranked as
     one order by group and then the given one (:func:`prefix`), less the least rank of the group.
+    ``small``: the caller knows that there are none of these.
     """
     most = IN_A_TASK if most is None else most
     window = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    if small:
+        return df.withColumn(rank, window.cast("long"))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most).select(*by)
     large = _saved(sizes)
     if large.isEmpty():
@@ -63,15 +72,18 @@ def rank_within(df: DataFrame, by: list[str], *order: Column | str, rank: str =
     return small.unionByName(d)
 
 
-def among_least(df: DataFrame, by: list[str], value: str, tie: str, k: str, mark: str = "is_least", parts: int = 512, most: int | None = None) -> DataFrame:
+def among_least(df: DataFrame, by: list[str], value: str, tie: str, k: str, mark: str = "is_least", parts: int = 512, most: int | None = None, small: bool = False) -> DataFrame:
     """With ``mark``: whether a row is one of the ``k`` with the least values of its group, ties by ``tie``; ``k`` is a column that is constant in a group.
 
     The k-th value is enclosed between two values, of ``parts`` that a quantile summary gives,
     and rows below and between are counted exactly; again, until at most ``most`` rows are between or
     they can't be parted.  Rows below are taken without being ordered; only those between are
-    ranked.  A round leaves some 4 in ``parts`` of the rows.
+    ranked.  A round leaves some 4 in ``parts`` of the rows.  Where all groups have at most ``most``
+    rows, which the caller may know (``small``), each is ordered in a task.
     """
     most = IN_A_TASK if most is None else most
+    if small or all_small(df, by, most):
+        return df.withColumn(mark, F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) <= F.col(k))
     state = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows"), F.max(F.col(k).cast("long")).alias("_need"))
     wide = (F.col("_rows") > most) & (F.col("_lo") < F.col("_hi")) & (F.col("_need") > 0) & (F.col("_need") < F.col("_rows"))
     state = _saved(state.withColumn("_more", wide))
@@ -98,6 +110,6 @@ def among_least(df: DataFrame, by: list[str], value: str, tie: str, k: str, mark
     return clear.unionByName(ranked).drop("_lo", "_hi", "_need")
 
 
-def least(df: DataFrame, by: list[str], value: str, tie: str, k: str, parts: int = 512, most: int | None = None) -> DataFrame:
+def least(df: DataFrame, by: list[str], value: str, tie: str, k: str, parts: int = 512, most: int | None = None, small: bool = False) -> DataFrame:
     """The rows that :func:`among_least` marks."""
-    return among_least(df, by, value, tie, k, "_least", parts, most).where("_least").drop("_least")
+    return among_least(df, by, value, tie, k, "_least", parts, most, small).where("_least").drop("_least")

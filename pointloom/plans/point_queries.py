@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import from_gray, r6, to_gray
-from ..operators import crops, curve, scan, transforms as t, voxel
+from ..operators import crops, curve, transforms as t, voxel
 from . import query
 from .views import EMB, EMB_S, LI, draw_sql, normal_sql, points_emb, points_emb_s, points_li, r6 as s6, uniform_sql
 
@@ -447,7 +447,7 @@ mr AS (SELECT p.scene, point_idx, x, y, z, n, row_number() OVER (PARTITION BY p.
 SELECT scene, point_idx, rk AS rank FROM mr WHERE rk <= floor({uniform_sql('views/major/size', 0.4, 1.0, 'scene')} * least(65536, n))""")
 def major_view(spark, sf):
     v = crops.multi_view(points_emb_s(spark, sf), n_global=1, n_local=0)
-    return scan.rank_within(v, ["scene"], "d2", "point_idx").select("scene", "point_idx", (F.col("rank") + 1).alias("rank"))
+    return v.select("scene", "point_idx", F.col("rank").cast("long").alias("rank"))
 
 
 _BLOCK = f"""WITH {EMB_S}, {_major().format('blocks')}, v AS (SELECT scene, point_idx, x, y, z, n FROM mr WHERE rk <= floor({uniform_sql('blocks/size', 0.6, 1.0, 'scene')} * least(65536, n))),
@@ -477,6 +477,27 @@ def early_fuse_blocks(spark, sf):
     return crops.multi_block(points_emb_s(spark, sf), 2, early_fuse=True).select("scene", "point_idx", "block", "is_target")
 
 
+def _copy_sql(name: str) -> str:
+    """The columns of one copy, from its own draws."""
+    keys = ("scene", "block", f"'{name}'")
+    turn, scale, flip = f"({uniform_sql('augment/turn', -1.0, 1.0, *keys)} * pi())", uniform_sql("augment/scale", 0.9, 1.1, *keys), f"({draw_sql('augment/flip', *keys)} < 0.5)"
+    noise = {c: f"least(greatest({normal_sql(f'augment/{name}/{c}', 'scene', 'block', 'point_idx')} * 0.005::DOUBLE, -0.02::DOUBLE), 0.02::DOUBLE)" for c in XYZ}
+    x, y, z = f"(CASE WHEN {flip} THEN -(x - mx / 2) ELSE x - mx / 2 END)", "(y - my / 2)", "(z - mz / 2)"
+    turned = {"x": f"(cos({turn}) * {x} - sin({turn}) * {y})", "y": f"(sin({turn}) * {x} + cos({turn}) * {y})", "z": z}
+    return ", ".join(f"{s6(f'{turned[c]} * {scale} + m{c} / 2 + {noise[c]}')} AS {name}_{c}" for c in XYZ)
+
+
+@query("diff_aug_blocks", f"""{_FUSED}, fused AS (SELECT scene, point_idx, 0 AS block, 1 AS is_target FROM t0 UNION ALL SELECT scene, point_idx, 1, 1 FROM t1
+UNION ALL SELECT scene, point_idx, k, 0 FROM v ANTI JOIN (SELECT scene, point_idx FROM t0 UNION SELECT scene, point_idx FROM t1) t USING (scene, point_idx), (VALUES (0), (1)) b(k)),
+fp AS (SELECT fused.*, x, y, z FROM fused JOIN emb USING (scene, point_idx)), mid AS (SELECT scene, block, min(x) + max(x) AS mx, min(y) + max(y) AS my, min(z) + max(z) AS mz FROM fp GROUP BY scene, block)
+SELECT scene, point_idx, block, is_target, {_copy_sql('student')}, {_copy_sql('teacher')} FROM fp JOIN mid USING (scene, block)""")
+def diff_aug_blocks(spark, sf):
+    """Each target of a scene with its context, changed by draws of its own, once for the student and once for the teacher."""
+    b = crops.multi_block(points_emb_s(spark, sf), 2, early_fuse=True).select("scene", "point_idx", "block", "is_target", *XYZ)
+    out = crops.augmented_blocks(b, crops.drawn_augments(b))
+    return out.select("scene", "point_idx", "block", "is_target", *(r6(F.col(n)[i]).alias(f"{n}_{c}") for n in ("student", "teacher") for i, c in enumerate(XYZ)))
+
+
 @query("contrastive_views", f"WITH {LI} SELECT scene, point_idx, k AS view, {s6('x + ' + '(CASE k WHEN 1 THEN ' + uniform_sql('view1/x', -0.2, 0.2, 'scene') + ' ELSE ' + uniform_sql('view2/x', -0.2, 0.2, 'scene') + ' END)')} AS x FROM li, (VALUES (1), (2)) v(k)")
 def contrastive_views(spark, sf):
     v = crops.two_views(points_li(spark, sf), transform=lambda d, s: t.random_shift(d, salt=s))

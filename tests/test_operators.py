@@ -344,3 +344,30 @@ def test_hilbert_column_equals_the_function(spark):
     assert (p.code.to_numpy() == curve.hilbert_code(p.gx, p.gy, p.gz)).all()
     q = curve.encode(df, "hilbert-trans").toPandas()
     assert (q.code.to_numpy() == curve.hilbert_code(q.gy, q.gx, q.gz)).all()
+
+
+def test_targets_are_changed_each_by_itself(spark):
+    from pointloom.operators import crops
+
+    rows = [(s, i, float(i % 7), float(i % 5), float(i % 3)) for s in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "scene long, point_idx long, x double, y double, z double")
+    blocks = crops.multi_block(df, 2, (0.2, 0.3), early_fuse=True)
+    table = crops.drawn_augments(blocks)
+    assert table.count() == 2 * 2 * 2 and len({(r.turn, r.scale) for r in table.collect()}) == 8
+    got = crops.augmented_blocks(blocks, table, {"sigma": 0.0}).collect()
+    assert len(got) == blocks.count()
+    draws = {(r.scene, r.block, r["copy"]): r for r in table.collect()}
+    for key in {(r.scene, r.block) for r in got}:
+        mine = [r for r in got if (r.scene, r.block) == key]
+        for copy in ("student", "teacher"):
+            # Turns and mirrors keep distances up to the scale that was drawn.
+            a, b = mine[0], mine[-1]
+            before = math.dist((a.x, a.y, a.z), (b.x, b.y, b.z))
+            assert math.isclose(math.dist(a[copy], b[copy]), before * draws[(*key, copy)].scale, abs_tol=1e-9)
+        assert any(math.dist(r.student, r.teacher) > 1e-3 for r in mine)
+    shared = {}
+    for r in got:
+        shared.setdefault((r.scene, r.point_idx), set()).add(tuple(r.student))
+    assert any(len(v) == 2 for v in shared.values())  # a context point that both targets of a scene have
+    alone = crops.augmented_blocks(blocks, table.where("copy = 'student'")).select("student", "teacher").collect()
+    assert all(r.student is not None and r.teacher is None for r in alone)
