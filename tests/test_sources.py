@@ -171,3 +171,59 @@ def test_infos_round_trip(spark, tmp_path):
 def test_overlapping_takes_the_bound(spark):
     pairs = spark.createDataFrame([("a", "b", 0.3), ("a", "c", 0.29), ("b", "c", 0.5), ("c", "d", None)], "a string, b string, ratio double")
     assert sorted((r.a, r.b) for r in spatial.overlapping(pairs).collect()) == [("a", "b"), ("b", "c")]
+
+
+def test_names_and_loops(spark, tmp_path):
+    at = tmp_path / "set" / "train" / "scene1"
+    spark.range(3).write.parquet(f"{at}/a.parquet")
+    spark.range(2).write.parquet(f"{tmp_path}/set/val/scene2/a.parquet")
+    read = spark.read.parquet(*(str(p) for p in sorted(tmp_path.glob("set/*/*/*.parquet/part-*"))))
+    folders = sinks.named_by_path(read).select("split", "scene").distinct().collect()
+    assert {tuple(r) for r in folders} == {("scene1", "a.parquet"), ("scene2", "a.parquet")}  # the last two folders
+    looped = npy.repeated(spark.range(4), 3)
+    assert looped.count() == 12 and {r.loop_no for r in looped.collect()} == {0, 1, 2}
+    both = npy.concatenated(spark.range(2).withColumn("x", F.lit(1)), spark.range(3).withColumn("y", F.lit("b")))
+    assert sorted((r.dataset, r.id, r.x, r.y) for r in both.collect() if r.dataset == 0) == [(0, 0, 1, None), (0, 1, 1, None)] and both.where("dataset = 1 and x is null and y = 'b'").count() == 3
+
+
+def test_text_outputs_read_back(spark, tmp_path):
+    (tmp_path / "map.tsv").write_text("id\tname\n1\twall\n7\tfloor\n")
+    assert [tuple(r) for r in sinks.label_map(spark, str(tmp_path / "map.tsv"), "id int, name string").orderBy("id").collect()] == [(1, "wall"), (7, "floor")]
+    top = spark.createDataFrame([("s1", i, f"{i} {i + 1} {i + 2}") for i in range(30)] + [("s2", 0, "9 8 7")], "scene string, point_idx long, classes string").repartition(4)
+    sinks.top_classes_text(top, str(tmp_path / "top"))
+    (one,) = (tmp_path / "top" / "scene=s1").glob("*.txt")
+    assert one.read_text().split("\n")[:-1] == [f"{i} {i + 1} {i + 2}" for i in range(30)]
+    sinks.overlap_text(spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25)], "a string, b string, ratio double"), str(tmp_path / "pairs"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "pairs")).collect()) == ["a b 0.5", "a c 0.25"]
+    sinks.json_metrics(spark.createDataFrame([(1, "loss", 2.0), (1, "acc", 0.5), (2, "loss", 1.0)], "iteration long, name string, value double"), str(tmp_path / "json"))
+    got = spark.read.json(str(tmp_path / "json")).orderBy("iteration").collect()
+    assert [(r.iteration, r.loss, r.acc) for r in got] == [(1.0, 2.0, 0.5), (2.0, 1.0, None)]
+
+
+def test_an_interrupted_evaluation_goes_on(spark, tmp_path):
+    """A run that breaks off in the middle and is called again gives what an undisturbed one gives, without doing a scene twice."""
+    from pointloom.sources import resume
+
+    rows = [(s, i, (s + i) % 4, (s * i) % 4) for s in range(24) for i in range(5 + s)]
+    df = spark.createDataFrame(rows, "scene long, point_idx long, target long, pred long")
+    asked: list[set] = []
+
+    def confusion(part, broken=()):
+        asked.append({r.scene for r in part.select("scene").distinct().collect()})
+        stop = F.when(F.col("scene").isin(*broken), F.raise_error(F.lit("interrupted")).cast("long")).otherwise(F.col("pred")) if broken else F.col("pred")
+        return part.withColumn("pred", stop).groupBy("scene", "target", "pred").count()
+
+    whole = resume.resumed(df, str(tmp_path / "whole"), confusion)
+    asked.clear()
+    with pytest.raises(Exception, match="interrupted"):
+        resume.resumed(df, str(tmp_path / "broken"), lambda p: confusion(p, (5, 11)))
+    finished = {r.scene for r in (resume.results(spark, str(tmp_path / "broken")) or df.where("false")).select("scene").distinct().collect()}
+    assert 0 < len(asked) < 8 and finished == set().union(*asked[:-1])
+    asked.clear()
+    again = resume.resumed(df, str(tmp_path / "broken"), confusion)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole.collect()))
+    assert set().union(*asked) == set(range(24)) - finished
+    asked.clear()
+    more = df.unionByName(spark.createDataFrame([(99, 0, 1, 1), (None, 0, 1, 1)], df.schema))
+    assert resume.resumed(more, str(tmp_path / "broken"), confusion).count() == whole.count() + 1 and asked == [{99}]
+    assert resume.resumed(df.where("false"), str(tmp_path / "none"), confusion).count() == 0
