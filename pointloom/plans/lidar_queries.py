@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import r6
 from ..functions.shared import new_path
-from ..sources import tfrecord, waymo
+from ..sources import events, tfrecord, waymo
 from ..sources.files import write_bytes
 from . import query
-from .views import LI, points_li, r6 as r6_sql
+from .views import LI, points_li, r6 as r6_sql, table
 
 _ROWS = 4
 
@@ -129,3 +129,12 @@ def record_salvage(spark, sf):
     good = counts.select(F.lit("record").alias("kind"), F.lit(None).cast("string").alias("reason"), "scene", "n")
     gaps = read.where("kind = 'gap'").groupBy("kind", "reason").agg(F.count("*").alias("n"))
     return good.unionByName(gaps.select("kind", "reason", F.lit(-1).cast("long").alias("scene"), "n"))
+
+
+@query("scalar_events", f"SELECT event_type AS name, event_id AS iteration, {r6_sql('CAST(CAST(value AS FLOAT) AS DOUBLE)')} AS value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL")
+def scalar_events(spark, sf):
+    """Every event's value as a scalar of an event file, written and read back."""
+    folder = new_path(spark, "scalars")
+    spark.dataSource.register(tfrecord.TfRecordSource)
+    events.write_scalars(table(spark, sf, "events").selectExpr("event_type as name", "event_id as iteration", "value"), folder)
+    return events.read_scalars(spark, folder).select("name", "iteration", r6("value").alias("value"))

@@ -97,3 +97,8 @@ def put(field: int, value: int | float | bytes | str) -> bytes:
         return number(field << 3 | EIGHT) + struct.pack("<d", value)
     value = value.encode() if isinstance(value, str) else bytes(value)
     return number(field << 3 | BYTES) + number(len(value)) + value
+
+
+def put_float(field: int, value: float) -> bytes:
+    """One field of four bytes."""
+    return number(field << 3 | FOUR) + struct.pack("<f", value)

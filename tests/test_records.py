@@ -175,3 +175,19 @@ def test_a_frame_without_calibration_or_images():
     body = waymo.frame_record("x", -5, [], [{"laser": 2, "extrinsic": np.eye(4).ravel(), "inclinations": [0.1], "returns": [{"ranges": np.ones((1, 2, 3), np.float32)}, None]}])
     (one,) = waymo.images_of(body)
     assert (one["timestamp"], one["channels"], one["n_points"], one["inclinations"]) == (-5, 3, 2, [0.1])
+
+
+def test_scalars_in_event_files(spark, register, tmp_path):
+    from pointloom.sources import events
+
+    rows = [("loss", i, i / 8, 100.0 + i) for i in range(50)] + [("é/acc", -3, -0.25, None), (None, 1, 1.0, 0.0), ("x", None, 1.0, 0.0), ("x", 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "name string, iteration long, value double, time double").repartition(3)
+    events.write_scalars(df, str(tmp_path / "ev"))
+    want = sorted((n, i, v, t or 0.0) for n, i, v, t in rows if None not in (n, i, v))
+    assert sorted(map(tuple, events.read_scalars(spark, str(tmp_path / "ev")).collect())) == want
+    for f in (tmp_path / "ev").glob("*.tfevents"):
+        with open(f, "rb") as raw:
+            first = raw.read()[12 : 12 + 9 + 2 + len(events.VERSION)]
+        assert bytes(wire.message(first)[3][0]).decode() == events.VERSION
+    events.write_scalars(df.drop("time").where("name = 'loss'"), str(tmp_path / "ev"))
+    assert events.read_scalars(spark, str(tmp_path / "ev")).count() == len(want) + 50
