@@ -135,7 +135,11 @@ def read_back(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation what its output says when read back."""
+    """Per conversation what its output says when read back.
+
+    Null roles and texts were formatted as empty; turns with equal numbers stand in the order of
+    role and text, repeated ones each by itself; a conversation without turns has no row.
+    """
     f = formatted.select(F.col("tree").alias("conv_id"), "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["at"].cast("int"), s["chars"].cast("int")))), "")

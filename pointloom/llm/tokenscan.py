@@ -136,7 +136,12 @@ def scan(spark: SparkSession, files: DataFrame, separator: int = SEPARATOR, widt
 
 
 def document_counts(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens) by way of token files: written, scanned without an index, and named again by their order."""
+    """(doc_id, n_tokens, ended) by way of token files: written, scanned without an index, and named again by their order.
+
+    A null or empty text has no tokens; repeated rows and rows without a doc_id are counted each
+    by itself; whole texts count, however long; other columns are not read; an empty table gives
+    an empty result.
+    """
     spark = documents.sparkSession
     named = write_tokens(documents, new_path(spark, "tokens"))
     return scan(spark, named).join(named, ["path", "ordinal"]).select("doc_id", "n_tokens", "ended")

@@ -340,7 +340,11 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write a record per page and read the archives back: what each record says."""
+    """Write a record per page and read the archives back: what each record says.
+
+    A null html is an empty payload; a null page_id stays null, a null url is left out of the head;
+    repeated rows are records each; other columns are not read; an empty table gives no rows.
+    """
     files = write(with_revisits(pages), new_path(pages.sparkSession, "warc"))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read(files, payloads=False).where("kind = 'record'").select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))

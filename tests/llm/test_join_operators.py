@@ -490,6 +490,15 @@ def test_reply_trees(spark):
         chat.leaf_paths(loop, rounds=4)
 
 
+def test_digests_are_sent_or_shuffled_alike(spark):
+    """Pages with repeated payloads, with and without an id, short ones and nulls, by both plans."""
+    long = ["x" * 100, "é" * 60, "y" * 150]
+    rows = [(i, f"http://h/{i}", long[i % 3] if i % 4 else None if i % 8 else "short") for i in range(40)] + [(None, None, long[0]), (3, "http://h/again", long[0]), (-5, "http://h/first", long[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    sent, shuffled = (as_rows(warc.with_revisits(df, most=most).select("page_id", "url", "kind", "refers_to")) for most in (100, 0))
+    assert sent == shuffled and len(sent) == len(rows) and {r[3] for r in sent} >= {-5, 2}
+
+
 # Pipeline
 
 
