@@ -15,8 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the model is fitted on this stage's own input.
 
-    As in the stages behind, other columns pass through under any name.  Null, empty and short texts go; rows without a doc_id and repeated rows are judged each by
-    itself; whole texts are read; an empty table gives an empty result.
+    As in the stages behind, other columns pass through under any name.  Null, empty and short
+    texts go; rows without a doc_id and repeated rows are judged each by itself; whole texts are
+    read; an empty table gives an empty result.
     """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
