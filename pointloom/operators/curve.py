@@ -138,10 +138,14 @@ def drawn_orders(orders, salt: str) -> list[str]:
 
 
 def serialize(df: DataFrame, orders=("z",), bits: int = 16, shuffle: str | None = None, most: int | None = None) -> DataFrame:
-    """For each curve ``code_i``, and ``rank_i``, the place in the scene's order; ``shuffle``, a salt, permutes the curves first."""
+    """For each curve ``code_i``, and ``rank_i``, the place in the scene's order; ``shuffle``, a salt, permutes the curves first.
+
+    Points of one cell and ``point_idx`` come in the same order on all curves.
+    """
     out = df
     for i, order in enumerate(drawn_orders(orders, shuffle) if shuffle is not None else orders):
-        out = rank_within(encode(out, order, bits), ["scene"], "code", "point_idx", rank=f"rank_{i}", most=most).withColumnRenamed("code", f"code_{i}")
+        tie = ("point_idx", "rank_0") if i else ("point_idx",)
+        out = rank_within(encode(out, order, bits), ["scene"], "code", *tie, rank=f"rank_{i}", most=most).withColumnRenamed("code", f"code_{i}")
     return out
 
 

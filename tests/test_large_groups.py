@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import crops, curve, scan, spatial
+from pointloom.plans import scene_queries  # noqa: F401
 
 
 def rows_of(rng, sizes, values):
@@ -111,3 +112,15 @@ def test_crops_do_not_depend_on_the_plan(spark):
     df = spark.createDataFrame([(s, i, rng.random(), float(rng.randrange(3)), 0.0) for s, n in ((0, 40), (1, 300)) for i in range(n)], "scene long, point_idx long, x double, y double, z double")
     got = [{(r.scene, r.point_idx) for r in crops.sphere_crop(df, 100, most=most).collect()} for most in (30, 10**9)]
     assert got[0] == got[1] and len(got[0]) == 140
+
+
+def test_points_of_one_cell_and_index_keep_their_order_on_all_curves(spark):
+    rng = random.Random(11)
+    rows = [(s, rng.randrange(3), rng.randrange(2), rng.randrange(2), 0) for s in range(2) for _ in range(400)]
+    df = spark.createDataFrame(rows, "scene long, point_idx long, gx long, gy long, gz long").repartition(7)
+    for most in (0, 10**9):
+        ranks = {}
+        for r in curve.serialize(df, ("z", "z-trans", "hilbert"), most=most).collect():
+            ranks.setdefault((r.scene, r.code_0, r.point_idx), []).append((r.rank_0, r.rank_1, r.rank_2))
+        for of in ranks.values():
+            assert all(sorted(x) == [x[0] + i for i in range(len(x))] for x in zip(*sorted(of)))
