@@ -28,9 +28,12 @@ def scene_numbers(spark, sf):
 
 @query("scene_crop", f"WITH {BIG}, {_CENTER}, k AS (SELECT big.scene, big.point_idx, row_number() OVER (PARTITION BY big.scene ORDER BY {_D2}, big.point_idx) AS rk, n FROM big JOIN c ON c.scene = big.scene) SELECT scene, point_idx FROM k WHERE rk <= floor(n * 0.3::DOUBLE)")
 def scene_crop(spark, sf):
-    """The nearest three tenths of each scene to its middle point, by refined histograms."""
+    """The nearest three tenths of each scene to its middle point, by refined histograms.
+
+    Of points with one point_idx in the middle, which the SQL leaves open, the coordinates decide.
+    """
     p = points_big(spark, sf)
-    numbered = scan.rank_within(p, ["scene"], "point_idx", rank="k", most=_MOST)
+    numbered = scan.rank_within(p, ["scene"], "point_idx", "x", "y", "z", rank="k", most=_MOST)
     sizes = p.groupBy("scene").count()
     c = numbered.join(sizes, "scene").where("k = floor(count / 2)").selectExpr("scene", "x as cx", "y as cy", "z as cz", "count as n")
     return crops.nearest(p, c, F.floor(F.col("n") * 0.3), _MOST).select("scene", "point_idx")

@@ -124,3 +124,19 @@ def test_points_of_one_cell_and_index_keep_their_order_on_all_curves(spark):
             ranks.setdefault((r.scene, r.code_0, r.point_idx), []).append((r.rank_0, r.rank_1, r.rank_2))
         for of in ranks.values():
             assert all(sorted(x) == [x[0] + i for i in range(len(x))] for x in zip(*sorted(of)))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_crop_with_two_points_in_the_middle(spark, tmp_path, copies):
+    """The middle's point_idx belongs to points at both ends: the crop does not depend on the rows' order."""
+    from pointloom.plans import QUERIES
+
+    line = lambda order, x: (0, order, 0, 1, float(x), 0.0, 0.0, 0.0)
+    n = 5 * copies
+    rows = [line(o, o) for o in range(n)] + [line(n, 0), line(n, 100 * n)] + [line(n + 1 + o, n + 1 + o) for o in range(n)]
+    got = []
+    for i, r in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(r, "l_partkey long, l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        got.append(sorted(r.point_idx for r in QUERIES["scene_crop"](spark, f"{tmp_path}/{i}").collect()))
+    assert got[0] == got[1] and len(got[0]) == (2 * n + 2) * 3 // 10
