@@ -10,6 +10,13 @@ from .spatial import _saved
 _ROW = (1 << 33) - 1
 #: Groups of up to so many rows are ordered in a task each, larger ones by ranges.
 IN_A_TASK = 1_000_000
+#: Rows that a task of an explicit shuffle gets on average.
+ROWS_A_TASK = 50_000
+
+
+def parts_for(rows: int) -> int:
+    """As many partitions as the rows ask for."""
+    return -(-rows // ROWS_A_TASK)
 
 
 def prefix(df: DataFrame, *order: Column | str, rank: str = "rank", value: str | None = None, running: str = "running") -> DataFrame:
@@ -17,10 +24,10 @@ def prefix(df: DataFrame, *order: Column | str, rank: str = "rank", value: str |
 
     Rows are dealt by ranges of the order and sorted within them; each range counts and sums
     its own rows, and a window over one row per range carries the totals.  The ranges are
-    saved first, since they are drawn from a sample.
+    saved first, since they are drawn from a sample.  They are as many as the rows ask for.
     """
     inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = df.repartitionByRange(max(1, parts_for(df.count())), *order).sortWithinPartitions(*order)
     d = _saved(d.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))}))
     per = d.groupBy("_range").agg(F.count("*").alias("_n"), *([F.sum(value).alias("_s")] if value else []))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -29,9 +29,10 @@ def downsample(df: DataFrame, size: float, labels: str = "segment") -> DataFrame
     return per_label.groupBy("scene", *CELL).agg(F.sum("k").alias("n"), F.min("p").alias("rep"), *((F.sum(f"s{x}") / F.sum("k")).alias(x) for x in XYZ), F.max_by(labels, F.struct("k", -F.col(labels))).alias(labels))
 
 
-def voxel_ids(df: DataFrame) -> DataFrame:
-    """(scene, gx, gy, gz, voxel_id): the voxels of each scene numbered in the order of their cells."""
+def voxel_ids(df: DataFrame, parts: int = 1) -> DataFrame:
+    """(scene, gx, gy, gz, voxel_id): the voxels of each scene numbered in the order of their cells; by ``parts`` tasks if more than one."""
     v = df.select("scene", *CELL).distinct()
+    v = v.repartition(parts, "scene") if parts > 1 else v
     return v.withColumn("voxel_id", (F.row_number().over(Window.partitionBy("scene").orderBy(*CELL)) - 1).cast("long"))
 
 
@@ -52,10 +53,11 @@ def displaced(df: DataFrame, size: float, normals: Sequence[str] | None = None)
     return df.withColumns({f"d{x}": e for x, e in zip(XYZ, d)})
 
 
-def inverse(df: DataFrame, size: float) -> DataFrame:
-    """(scene, point_idx, voxel_id) of every point."""
-    c = cells(df, size)
-    return c.join(voxel_ids(c), ["scene", *CELL]).select(*KEY, "voxel_id")
+def inverse(df: DataFrame, size: float, parts: int = 1) -> DataFrame:
+    """(scene, point_idx, voxel_id) of every point; by ``parts`` tasks if more than one, else as Spark deals them."""
+    c = cells(df, size).select(*KEY, *CELL)
+    c = c.repartition(parts, "scene", *CELL) if parts > 1 else c
+    return c.join(voxel_ids(c, parts), ["scene", *CELL]).select(*KEY, "voxel_id")
 
 
 def fragments(df: DataFrame, size: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import from_gray, r6, to_gray
 from ..operators import crops, curve, transforms as t, voxel
 from . import query
-from .views import EMB, EMB_S, LI, draw_sql, normal_sql, points_emb, points_emb_s, points_li, r6 as s6, uniform_sql
+from .views import EMB, EMB_S, LI, draw_sql, normal_sql, points_emb, points_emb_s, points_li, r6 as s6, tasks_li, uniform_sql
 
 XYZ, RGB = ("x", "y", "z"), ("r", "g", "b")
 
@@ -43,7 +43,7 @@ def voxel_downsample(spark, sf):
 WITH {LI}, {_cells(2.0, 'li')}
 SELECT scene, point_idx, dense_rank() OVER (PARTITION BY scene ORDER BY gx, gy, gz) - 1 AS voxel_id FROM c""")
 def voxel_inverse(spark, sf):
-    return voxel.inverse(points_li(spark, sf), 2.0)
+    return voxel.inverse(points_li(spark, sf), 2.0, tasks_li(spark, sf))
 
 
 @query("voxel_sample", f"""
@@ -560,7 +560,9 @@ def curve_depth(spark, sf):
 @query("fan_back", f"""WITH {LI}, {_cells(2.0, 'li')}, v AS (SELECT scene, gx, gy, gz, min(point_idx) AS pred FROM c GROUP BY ALL) SELECT c.scene AS scene, point_idx, pred FROM c JOIN v USING (scene, gx, gy, gz)""".replace("c.scene AS scene", "scene"))
 def fan_back(spark, sf):
     p = points_li(spark, sf)
-    inv = voxel.inverse(p, 2.0)
+    parts = tasks_li(spark, sf)
+    inv = voxel.inverse(p, 2.0, parts)
+    inv = inv.repartition(parts, "scene", "voxel_id") if parts > 1 else inv
     return voxel.fan_back(inv.groupBy("scene", "voxel_id").agg(F.min("point_idx").alias("pred")), inv)
 
 

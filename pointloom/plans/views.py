@@ -9,13 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import parts_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_li(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the line items are dealt to: bytes of a shuffle, by which Spark joins its partitions, say little of the memory that rows need."""
+    return parts_for(table(spark, sf_dir, "lineitem").count())
+
+
 def points_li(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    columns = [f"l_{c}" for c in "orderkey partkey suppkey linenumber quantity extendedprice discount tax".split()]
+    li = table(spark, sf_dir, "lineitem").select(*columns)
+    parts = tasks_li(spark, sf_dir)
+    if parts > 1:
+        li = li.repartition(parts, "l_suppkey")
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return li.select(
         F.col("l_suppkey").alias("scene"),

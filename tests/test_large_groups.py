@@ -180,3 +180,21 @@ def test_balls_make_no_rows_of_pairs(spark, monkeypatch):
         assert rows(spatial.ball_query(df, df, 0.5, n, inner)) == sorted(even)
         assert rows(spatial.random_ball(df, df, 0.5, n, "s")) == sorted(drawn)
     assert spatial.ball_query(df.where("false"), df, 0.5, 4).count() == spatial.random_ball(df, df.where("false"), 0.5, 4).count() == 0
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Views and ranges are dealt to as many tasks as their rows ask for, whatever bytes a shuffle has; results stay."""
+    import os
+
+    from pointloom.plans import QUERIES, point_queries, views  # noqa: F401
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the test tables are not here")
+    names, rows = ("patches", "voxel_inverse", "fan_back", "scene_shuffle"), lambda d: sorted(map(str, d.collect()))
+    want = {n: rows(QUERIES[n](spark, data)) for n in names}
+    monkeypatch.setattr(scan, "ROWS_A_TASK", 500)
+    assert views.points_li(spark, data).rdd.getNumPartitions() == 12
+    assert scan.prefix(views.points_big(spark, data), "scene", "point_idx").select(F.spark_partition_id()).distinct().count() > 6
+    for n in names:
+        assert rows(QUERIES[n](spark, data)) == want[n]
