@@ -156,8 +156,7 @@ roots AS (SELECT scene, q AS point_idx, min(c) AS root FROM reach GROUP BY 1, 2)
 
 @query("components", f"WITH RECURSIVE {EMB}, {_pairs(0.1)}, {_ROOTS.format(v='emb')} SELECT scene, point_idx, root, count(*) OVER (PARTITION BY scene, root) AS size FROM roots QUALIFY size >= 2")
 def components(spark, sf):
-    p = points_emb(spark, sf)
-    return cluster.components(p, spatial.radius_pairs(p, p, 0.1), 2)
+    return cluster.radius_components(points_emb(spark, sf), 0.1, 2)
 
 
 @query("proposals", f"""WITH RECURSIVE {EMB_S}, v AS (SELECT * FROM emb WHERE segment <> -1), {_pairs(0.15, 'v')}, {_ROOTS.format(v='v')}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import crops, curve, scan, spatial
+from pointloom.functions.shared import shared_dir
+from pointloom.operators import cluster, crops, curve, scan, spatial
 from pointloom.plans import scene_queries  # noqa: F401
 
 
@@ -198,3 +202,70 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     assert scan.prefix(views.points_big(spark, data), "scene", "point_idx").select(F.spark_partition_id()).distinct().count() > 6
     for n in names:
         assert rows(QUERIES[n](spark, data)) == want[n]
+
+
+def shapes():
+    rng = random.Random(11)
+    ball = lambda n, at, r: [tuple(at[c] + rng.uniform(-r, r) for c in range(3)) for _ in range(n)]
+    shell = lambda n, r: [tuple(r * v / math.dist(d, (0, 0, 0)) for v in d) for d in ([rng.gauss(0, 1) for _ in range(3)] for _ in range(n))]
+    return {
+        "sparse": (ball(250, (0, 0, 0), 1), 0.2),
+        "dense": (ball(250, (0, 0, 0), 1), 0.9),
+        "lattice": ([(i * 0.1, j * 0.1, -k * 0.1) for i in range(7) for j in range(6) for k in range(5)], 0.1),  # apart by the radius, as far as doubles tell
+        "copies": ([(0.3, 0.3, 0.3)] * 150 + [(0.3, 0.3, 0.9)] * 90 + ball(20, (0.3, 0.3, 0.6), 0.02), 0.32),
+        "shells": (shell(150, 0.2) + shell(150, 1.19), 1.0),  # most pairs are nearly as far as the radius
+        "line": ([(i * 0.0999 * (1 + 1e-3 * (i % 3)), 0.0, 0.0) for i in range(60)], 0.1),
+        "far": ([(1e6 + i * 0.05, -1e6, 0.0) for i in range(40)], 0.05),
+        "two": (ball(120, (0, 0, 0), 0.02) + ball(120, (0.07, 0.07, 0), 0.02), 0.0605),
+    }
+
+
+@pytest.mark.parametrize("at_once", [0, 1024])
+@pytest.mark.parametrize("shape", sorted(shapes()))
+def test_components_by_cells_are_those_of_pairs(spark, monkeypatch, shape, at_once):
+    """Compared with all pairs, in one label and in several, where few points are compared one by one and where all are halved."""
+    monkeypatch.setattr(cluster, "PAIRS_AT_ONCE", at_once)
+    points, radius = shapes()[shape]
+    rng = random.Random(3)
+    p = [(s, i, *xyz, rng.randrange(4) if s else 0) for s in (0, 1) for i, xyz in enumerate(rng.sample(points, len(points)))]
+    df = spark.createDataFrame(p, "scene long, point_idx long, x double, y double, z double, segment long")
+    root = {r[:2]: r[:2] for r in p}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in p:
+        for b in p:
+            if a[:2] < b[:2] and a[0] == b[0] and a[5] == b[5] and sum((u - v) * (u - v) for u, v in zip(a[2:4], b[2:4])) + (a[4] - b[4]) * (a[4] - b[4]) < radius * radius:
+                u, v = sorted((top(a[:2]), top(b[:2])))
+                root[v] = u
+    sizes = Counter(top(k) for k in root)
+    want = sorted((*k, top(k)[1], sizes[top(k)]) for k in root if sizes[top(k)] >= 2)
+    assert sorted(tuple(r) for r in cluster.radius_components(df, radius, 2).collect()) == want
+
+
+def test_components_of_points_without_place_or_label(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    p = [(0, i, x, 0.0, 0.0, 1) for i, x in enumerate(odd * 2)] + [(0, 20 + i, 0.0, 0.0, 0.0, None) for i in range(3)] + [(0, 30, 0.0, 0.0, 0.0, 1), (0, 31, 0.0, 0.0, 0.0, 1)]
+    df = spark.createDataFrame(p, "scene long, point_idx long, x double, y double, z double, segment long")
+    rows = lambda d: {(r.point_idx, r.root, r["size"]) for r in d.collect()}
+    assert rows(cluster.radius_components(df, 0.5)) == {(i, i, 1) for i in [*range(8), 20, 21, 22]} | {(30, 30, 2), (31, 30, 2)}
+    assert rows(cluster.radius_components(df, 0.5, 2, None)) == {(i, 20, 5) for i in (20, 21, 22, 30, 31)}
+    assert cluster.radius_components(df.where("false"), 0.5).count() == 0
+    with pytest.raises(Exception, match="too large for this radius"):
+        cluster.radius_components(spark.createDataFrame([(0, 0, 1e18, 0.0, 0.0, 1)], df.schema), 0.5).collect()
+
+
+def test_clusters_write_no_pairs(spark):
+    """What is saved between the steps grows with the points; pairs would be many times that."""
+    rng = random.Random(7)
+    p = [(0, i, i % 2 + rng.random() / 20, rng.random() / 20, rng.random() / 20, 1) for i in range(4000)]
+    df = spark.createDataFrame(p, "scene long, point_idx long, x double, y double, z double, segment long")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    saved = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = saved()
+    got = cluster.proposals(df, 0.1).select("root", "size").collect()
+    assert sorted(map(tuple, got)) == [(0, 2000), (1, 2000)]
+    assert saved() - before < 4_000_000
