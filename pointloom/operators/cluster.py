@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, cell
-from .spatial import _saved
+from ..functions.shared import new_path
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """Written to the folder that executors share and read again, with its real size: a checkpoint keeps the estimate, which joins multiply in every round until its digits take longer than the rows."""
+    path = new_path(df.sparkSession, "clusters")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _stars(edges: DataFrame, key: Sequence[str], rounds: int = 60) -> DataFrame:
